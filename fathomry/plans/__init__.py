@@ -1 +1,3 @@
-"""plans of the library."""
+"""The registered queries. Importing this package registers those of all its modules."""
+
+from . import packed  # noqa: F401

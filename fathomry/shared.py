@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a table may have to be broadcast or held by each task. Tables beyond it are joined by shuffle.
@@ -56,6 +56,8 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, rows) else df
 
 
-def without_clash(df: DataFrame, *wanted: str) -> DataFrame:
-    """Only the columns an operator works on, so that others can't clash with its own names."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])
+def rows_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> list[Row] | None:
+    """All rows of *df* if there are at most *rows* of them, else None."""
+    found = df.limit(rows + 1).collect()
+    return found if len(found) <= rows else None
+
