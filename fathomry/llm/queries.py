@@ -5,17 +5,47 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..operators.packed import split_packed
 from ..tables import table
-from . import components
+from . import canonical, components, survivors
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return components.merge_groups(table(spark, folder, "similarity_pairs"), 0.9).select("group_id", "row_index")
 
 
+def expected_names(expected: DataFrame) -> DataFrame:
+    """``group``, ``name`` and ``entry`` of the canonical names and aliases of the reference list."""
+    aliases = split_packed(expected, ["feature_id", "category"], ["matching_aliases"]).select("category", "feature_id", "value")
+    names = expected.select("category", "feature_id", F.col("canonical_feature_name").alias("value")).unionByName(aliases)
+    return names.select(F.col("category").alias("group"), F.col("value").alias("name"), F.col("feature_id").alias("entry"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    records = table(spark, folder, "feature_records")
+    group = canonical.group_of(F.col("category_key"), F.col("feature_key"), F.col("category"))
+    found = canonical.map_records(records, expected_names(table(spark, folder, "expected_features")), "row_index", "display_name", group)
+    return found.select("row_index", F.col("entry").alias("feature_id")).distinct()
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = survivors.with_venues(table(spark, folder, "candidates"), table(spark, folder, "venues"))
+    fields = survivors.candidate_fields()
+    best = survivors.survivors(rows, fields, "dup_group", survivors.source_rank(F.col("source_apis")), "loaded_at", "pos")
+    return survivors.sole_values(best, [f.name for f in fields])
+
+
+def p5_survivors(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.candidate_survivors(table(spark, folder, "candidates"), table(spark, folder, "venues"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p5_found": p5_found,
+    "p5_survivors": p5_survivors,
 }
 
 #: SQL for DuckDB where it can express the operator over whole tables.
