@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.packed import split_packed
 from ..tables import table
-from . import canonical, components, survivors
+from . import canonical, components, matching, scans, survivors
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -30,6 +30,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("row_index", F.col("entry").alias("feature_id")).distinct()
 
 
+def p4_matches(spark: SparkSession, folder: str) -> DataFrame:
+    return matching.match_references(table(spark, folder, "cited_refs"), table(spark, folder, "candidates"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_matches(spark, folder).select("pos", "ref_id").distinct()
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     rows = survivors.with_venues(table(spark, folder, "candidates"), table(spark, folder, "venues"))
     fields = survivors.candidate_fields()
@@ -41,11 +49,18 @@ def p5_survivors(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.candidate_survivors(table(spark, folder, "candidates"), table(spark, folder, "venues"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repairs(table(spark, folder, "chunks")).select("chunk_id", "line_no", "kind", "word").distinct()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_matches": p4_matches,
     "p5_found": p5_found,
     "p5_survivors": p5_survivors,
+    "p6_found": p6_found,
 }
 
 #: SQL for DuckDB where it can express the operator over whole tables.
