@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.packed import split_packed
 from ..tables import table
-from . import canonical, components, matching, scans, survivors
+from . import canonical, components, encoding, matching, scans, survivors
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,6 +53,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.repairs(table(spark, folder, "chunks")).select("chunk_id", "line_no", "kind", "word").distinct()
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encoding.encode_documents(table(spark, folder, "documents")).select("doc_id", "ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_survivors": p5_survivors,
     "p6_found": p6_found,
+    "p7_ids": p7_ids,
 }
 
 #: SQL for DuckDB where it can express the operator over whole tables.
