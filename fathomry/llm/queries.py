@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.packed import split_packed
 from ..tables import table
-from . import canonical, components, encoding, matching, scans, survivors
+from . import canonical, components, encoding, langid, matching, scans, survivors
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,6 +57,22 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_documents(table(spark, folder, "documents")).select("doc_id", "ids")
 
 
+def language_model(spark: SparkSession, folder: str) -> langid.Model:
+    return langid.train(table(spark, folder, "lang_samples"), table(spark, folder, "documents"))
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.unstated_languages(table(spark, folder, "documents"), language_model(spark, folder)).distinct()
+
+
+def p9_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.passages(table(spark, folder, "documents"), language_model(spark, folder))
+
+
+def p9_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.document_languages(langid.passages(table(spark, folder, "documents"), language_model(spark, folder), with_text=False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -66,6 +82,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_survivors": p5_survivors,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
+    "p9_found": p9_found,
+    "p9_passages": p9_passages,
+    "p9_documents": p9_documents,
 }
 
 #: SQL for DuckDB where it can express the operator over whole tables.
