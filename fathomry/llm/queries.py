@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.packed import split_packed
 from ..tables import table
-from . import canonical, components, encoding, langid, matching, scans, survivors
+from . import canonical, components, encoding, langid, matching, mixing, scans, survivors
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,6 +57,14 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_documents(table(spark, folder, "documents")).select("doc_id", "ids")
 
 
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[1]
+
+
 def language_model(spark: SparkSession, folder: str) -> langid.Model:
     return langid.train(table(spark, folder, "lang_samples"), table(spark, folder, "documents"))
 
@@ -82,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_survivors": p5_survivors,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
+    "p8_mix": p8_mix,
+    "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_passages": p9_passages,
     "p9_documents": p9_documents,
