@@ -14,9 +14,9 @@ def running_total(rows: DataFrame, group: list[str], bucket: str, order: list[st
     Null values count as 0.
     """
     v = F.coalesce(F.col(value), F.lit(0))
-    sums = rows.groupBy(*group, bucket).agg(F.sum(v).alias("_sum"))
+    sums = rows.groupBy(*group, bucket).agg(F.sum(v).alias("_rt_sum"))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    sums = sums.withColumn("_rt_before", F.coalesce(F.sum("_rt_sum").over(before), F.lit(0))).drop("_rt_sum")
     inside = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    found = rows.withColumn("_inside", F.coalesce(F.sum(v).over(inside), F.lit(0)))
-    return found.join(sums, [*group, bucket]).withColumn(name, F.col("_before") + F.col("_inside")).drop("_before", "_inside")
+    found = rows.withColumn("_rt_inside", F.coalesce(F.sum(v).over(inside), F.lit(0)))
+    return found.join(sums, [*group, bucket]).withColumn(name, F.col("_rt_before") + F.col("_rt_inside")).drop("_rt_before", "_rt_inside")

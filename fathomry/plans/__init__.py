@@ -1,3 +1,3 @@
 """The registered queries. Importing this package registers those of all its modules."""
 
-from . import packed  # noqa: F401
+from . import comparison, features, packed, papers, similarity, streams  # noqa: F401
