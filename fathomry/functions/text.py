@@ -140,15 +140,20 @@ def without_front_matter(c: Column) -> Column:
     return F.regexp_replace(text_or_empty(c), r"^---\n[\s\S]*?\n---\n", "")
 
 
+def stripped(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text_or_empty(c), r"^\s+|\s+$", "")
+
+
 def pages_of(markdown: Column) -> Column:
     """The pages of a text with ``## Page N`` headings as array<struct<page, text>>; without headings one page null."""
     body = without_front_matter(markdown)
     parts = F.split(body, r"(?m)^## Page (?=\d+\s*$)")
     numbered = F.transform(
         F.slice(parts, 2, F.size(parts)),
-        lambda p: F.struct(F.try_to_number(F.regexp_extract(p, r"^\d+", 0), F.lit("999999999")).cast("int").alias("page"), F.trim(F.regexp_replace(p, r"^\d+[ \t]*\n?", "")).alias("text")),
+        lambda p: F.struct(F.try_to_number(F.regexp_extract(p, r"^\d+", 0), F.lit("999999999")).cast("int").alias("page"), stripped(F.regexp_replace(p, r"^\d+[ \t]*\n?", "")).alias("text")),
     )
-    whole = F.array(F.struct(F.lit(None).cast("int").alias("page"), F.trim(body).alias("text")))
+    whole = F.array(F.struct(F.lit(None).cast("int").alias("page"), stripped(body).alias("text")))
     return F.when(F.size(parts) > 1, numbered).otherwise(whole)
 
 

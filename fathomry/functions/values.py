@@ -31,7 +31,7 @@ def ordered_set(values: Column) -> Column:
 
 def folded_set(values: Column) -> Column:
     """An array's texts, trimmed, in their order; of those equal but for case the first."""
-    trimmed = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda v: v.isNotNull() & (v != ""))
+    trimmed = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != ""))
     return F.aggregate(trimmed, F.array().cast("array<string>"), lambda seen, v: F.when(F.exists(seen, lambda s: F.lower(s) == F.lower(v)), seen).otherwise(F.array_append(seen, v)))
 
 
