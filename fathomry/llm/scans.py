@@ -185,25 +185,26 @@ def recased(model: Column, word: Column) -> Column:
 
 def numbered_lines(chunks: DataFrame, scratch: Scratch) -> DataFrame:
     """The lines of each chunk: ``chunk_id``, ``line_no``, ``line``, ``dropped``, and for body lines whether the last word
-    is ``broken`` and how it goes on (``part``, ``rest``, ``mark``), and whether the line ``continues`` a broken word."""
+    is ``broken`` and how it goes on (``part``, ``rest``), and whether the line ``continues`` a broken word."""
     drops = running_lines(chunks)
     marked = chunks.join(drops, "chunk_id", "left").select("chunk_id", F.split("text", "\n").alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
-    marked = scratch.keep(marked, "lines")
     numbered = F.transform("lines", lambda x, i: F.struct((i + 1).cast("int").alias("line_no"), x.alias("line"), F.array_contains("drop", (i + 1).cast("int")).alias("dropped")))
-    body = F.filter(F.col("n"), lambda x: ~x["dropped"] & (F.trim(x["line"]) != ""))
-    nested = marked.select("chunk_id", numbered.alias("n")).withColumn("body", body)
-    tail = rf"(({WORD})[{BREAKS}]+)[ \t\r]*$"
-    begin = rf"^[ \t]*({WORD})"
-
-    def linked(x: Column, i: Column) -> Column:
-        following = F.get(F.col("body"), i + 1)["line"]
-        previous = F.get(F.col("body"), i - 1)["line"]
-        breaks = lambda a, b: F.coalesce(a.rlike(r"(?U)\p{L}" + f"[{BREAKS}]" + r"[ \t\r]*$") & b.rlike(r"^[ \t]*\p{L}"), F.lit(False))
-        return F.struct(x["line_no"].alias("line_no"), x["line"].alias("line"), breaks(x["line"], following).alias("broken"), breaks(previous, x["line"]).alias("continues"), F.regexp_extract(x["line"], tail, 2).alias("part"), F.regexp_extract(F.coalesce(following, F.lit("")), begin, 1).alias("rest"))
-
-    rows = nested.select("chunk_id", F.explode(F.transform("body", linked)).alias("b")).select("chunk_id", "b.*", F.lit(False).alias("dropped"))
-    gone = nested.select("chunk_id", F.explode(F.filter("n", lambda x: x["dropped"])).alias("b")).select("chunk_id", "b.line_no", "b.line", F.lit(False).alias("broken"), F.lit(False).alias("continues"), F.lit("").alias("part"), F.lit("").alias("rest"), F.lit(True).alias("dropped"))
-    return rows.unionByName(gone)
+    is_body = lambda x: ~x["dropped"] & (F.trim(x["line"]) != "")
+    nested = marked.select("chunk_id", numbered.alias("n")).select("chunk_id", F.filter("n", is_body).alias("body"), F.filter("n", lambda x: x["dropped"]).alias("gone"))
+    texts = F.transform("body", lambda x: x["line"])
+    nothing = F.array(F.lit(None).cast("string"))
+    shifted = F.arrays_zip(F.col("body").alias("own"), F.slice(F.concat(texts, nothing), F.lit(2), F.size("body")).alias("after"), F.slice(F.concat(nothing, texts), F.lit(1), F.size("body")).alias("before"))
+    rows = nested.select("chunk_id", F.explode(shifted).alias("z")).select("chunk_id", "z.own.line_no", "z.own.line", "z.after", "z.before")
+    ends_broken = lambda c: F.right(F.rtrim(F.rtrim(c), F.lit("\r\t ")), F.lit(2)).rlike(r"^\p{L}" + f"[{BREAKS}]$")
+    begins = lambda c: F.left(F.ltrim(c), F.lit(1)).rlike(r"^\p{L}")
+    broken = F.coalesce(ends_broken(F.col("line")) & begins(F.col("after")), F.lit(False))
+    body = rows.select(
+        "chunk_id", "line_no", "line", broken.alias("broken"), F.coalesce(ends_broken(F.col("before")) & begins(F.col("line")), F.lit(False)).alias("continues"),
+        F.when(broken, F.regexp_extract("line", rf"({WORD})[{BREAKS}]+[ \t\r]*$", 1)).otherwise("").alias("part"), F.when(broken, F.regexp_extract("after", rf"^[ \t]*({WORD})", 1)).otherwise("").alias("rest"), F.lit(False).alias("dropped"),
+    )
+    empty = F.lit("")
+    gone = nested.select("chunk_id", F.explode("gone").alias("b")).select("chunk_id", "b.line_no", "b.line", F.lit(False).alias("broken"), F.lit(False).alias("continues"), empty.alias("part"), empty.alias("rest"), F.lit(True).alias("dropped"))
+    return scratch.keep(body.unionByName(gone), "lines")
 
 
 def repairs(chunks: DataFrame, scratch: Scratch | None = None) -> DataFrame:
