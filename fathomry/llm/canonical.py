@@ -133,6 +133,7 @@ class Dictionary:
     def __init__(self, names: list[tuple[str, str, str, int]]):
         self.exact: dict[tuple[str, str], list[tuple[str, int]]] = {}
         self.near: dict[tuple[str, str, str], set[tuple[str, str, int]]] = {}
+        self.longest = max((len(name) for _, name, *_ in names), default=0)
         for group, name, entry, frequency in names:
             self.exact.setdefault((group, name), []).append((entry, frequency))
             for kind, text in (("f", name), ("s", skeleton(name))):
@@ -151,6 +152,8 @@ class Dictionary:
                 for shape in shapes:
                     for kind, text in (("f", shape), ("s", skeleton(shape))):
                         allowed = bound(len(text))
+                        if len(text) > self.longest + allowed:  # nothing can be so near
+                            continue
                         held: set[tuple[str, str, int]] = set()
                         for d in deletions(text, allowed):
                             held |= self.near.get((group, kind, d), set())
@@ -172,18 +175,26 @@ def lookup_forms(names: pd.Series) -> pd.Series:
     return names.map(forms)
 
 
-@F.pandas_udf(STRINGS)
-def lookup_keys(names: pd.Series) -> pd.Series:
-    """The delete keys of all forms of a name, with the kind of each in front."""
+def lookup_keys(longest: int):
+    """A function that gives the delete keys of all forms of a name, with the kind of each in front; none for names too
+    long for any entry of at most *longest* letters."""
     def keys(name: str | None) -> list[str]:
         found: set[str] = set()
         for form in forms(name):
             for shape in [form] + ([form[:-1]] if form.endswith("s") and len(form) > 5 else []):
                 for kind, text in (("f", shape), ("s", skeleton(shape))):
-                    found |= {kind + d for d in deletions(text, bound(len(text)))}
+                    if len(text) <= longest + bound(len(text)):
+                        found |= {kind + d for d in deletions(text, bound(len(text)))}
         return sorted(found)
 
-    return names.map(keys)
+    return F.pandas_udf(_of_series(keys), STRINGS)
+
+
+def _of_series(f):
+    def apply(names: pd.Series) -> pd.Series:
+        return names.map(f)
+
+    return apply
 
 
 def map_to_reference(records: DataFrame, reference: DataFrame, name: str, group: Column, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -225,9 +236,10 @@ def map_to_reference(records: DataFrame, reference: DataFrame, name: str, group:
         found = [Dictionary([(g, c["form"], c["entry"], c["frequency"]) for c in cs]).find(g, t) if cs is not None else None for g, t, cs in zip(groups, typed, candidates, strict=True)]
         return pd.DataFrame({"entry": [f and f[0] for f in found], "cost": [f and f[1] for f in found]}, dtype=object)
 
+    longest = names.agg(F.coalesce(F.max(F.length("form")), F.lit(0))).first()[0]
     deleted = names.select("group", "form", "entry", "frequency", F.explode(reference_keys("form")).alias("_d"))
     held = (
-        counted.select("group", name, F.explode(lookup_keys(name)).alias("_d"))
+        counted.select("group", name, F.explode(lookup_keys(longest)(name)).alias("_d"))
         .join(deleted, ["group", "_d"])
         .groupBy("group", name).agg(F.collect_set(F.struct("form", "entry", "frequency")).alias("_c"))
     )
