@@ -97,5 +97,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_documents": p9_documents,
 }
 
+_TRIMMED = r"regexp_replace(coalesce({c}, ''), '^[\s\x{{a0}}\x{{200b}}]+|[\s\x{{a0}}\x{{200b}}]+$', '', 'g')"
+_STAND_INS = ", ".join(f"'{x}'" for x in survivors.STAND_INS)
+_PLAIN = "regexp_replace(lower(" + _TRIMMED + "), '^[\\[(<\"'']+|[\\])>\"''.]+$', '', 'g')"
+
 #: SQL for DuckDB where it can express the operator over whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "p1_found": """WITH RECURSIVE m AS (SELECT DISTINCT left_index AS a, right_index AS b FROM similarity_pairs WHERE left_index <> right_index AND similarity IS NOT NULL AND NOT isnan(similarity) AND similarity >= 0.9),
+e AS (SELECT a, b FROM m UNION SELECT b, a FROM m), cc(id, comp) USING KEY (id) AS (
+SELECT a AS id, min(least(a, b)) AS comp FROM e GROUP BY a UNION
+SELECT e.b AS id, min(cc.comp) AS comp FROM cc JOIN e ON e.a = cc.id JOIN recurring.cc AS r ON r.id = e.b WHERE cc.comp < r.comp GROUP BY e.b)
+SELECT comp AS group_id, id AS row_index FROM cc""",
+    "p5_found": f"""WITH c AS (SELECT pos, dup_group, {_TRIMMED.format(c='abstract')} AS a, {_PLAIN.format(c='abstract')} AS p, lower(regexp_replace({_TRIMMED.format(c='venue')}, '[\\s\\x{{a0}}]+', ' ', 'g')) AS v,
+ len(list_filter(coalesce(candidate_pdf_urls, []), lambda x: x IS NOT NULL AND regexp_matches({_TRIMMED.format(c='x')}, '(?i)^https?://[^\\s/?#]+\\.?[^\\s]*$'))) AS n FROM candidates WHERE dup_group IS NOT NULL),
+w AS (SELECT dup_group, 'abstract' AS field, pos FROM c WHERE p NOT IN ({_STAND_INS}) AND NOT regexp_matches(a, '(?i){survivors.CUT}') AND regexp_matches(a, '{survivors.SENTENCE_END.replace("'", "''")}')
+UNION ALL SELECT dup_group, 'venue', pos FROM c WHERE v IN (SELECT lower(venue_name) FROM venues) UNION ALL SELECT dup_group, 'candidate_pdf_urls', pos FROM c WHERE n > 0)
+SELECT dup_group, field, min(pos) AS pos FROM w GROUP BY ALL HAVING count(*) = 1""",
+}

@@ -32,3 +32,16 @@ def test_nothing_else_imports_it():
     for p in [*root.glob("fathomry/**/*.py"), *root.glob("tests/*.py")]:
         if "llm" not in p.relative_to(root).parts:
             assert not re.search(r"^\s*(?:from|import)\s.*\bllm\b", p.read_text(), re.M), p
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_same_as_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for p in Path(DATA).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p}')")
+    expected = con.execute(queries.ORACLES[name])
+    columns = [d[0] for d in expected.description]
+    found = queries.QUERIES[name](spark, DATA).select(*columns)
+    assert sorted(map(tuple, found.collect())) == sorted(expected.fetchall())
