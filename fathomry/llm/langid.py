@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -279,8 +279,8 @@ def document_languages(found: DataFrame, key: str = "doc_id") -> DataFrame:
     """The languages of each document from its passages: *key*, ``lang``, ``sentences``, ``share`` (of its letters),
     ``confidence``, ``ambiguous``, ``whole`` (all sentences are in it), one row for each language."""
     each = found.groupBy(key, "lang").agg(F.sum("sentences").alias("sentences"), F.sum("letters").alias("letters"), (F.sum(F.col("confidence") * F.col("letters")) / F.greatest(F.sum("letters"), F.lit(1))).alias("confidence"), F.min("ambiguous").alias("ambiguous"))
-    every = found.groupBy(key).agg(F.sum("sentences").alias("_s"), F.sum("letters").alias("_l"))
-    return each.join(every, key).select(key, "lang", "sentences", (F.col("letters") / F.greatest("_l", F.lit(1))).alias("share"), "confidence", "ambiguous", (F.col("sentences") == F.col("_s")).alias("whole"))
+    own = Window.partitionBy(key)
+    return each.select(key, "lang", "sentences", (F.col("letters") / F.greatest(F.sum("letters").over(own), F.lit(1))).alias("share"), "confidence", "ambiguous", (F.col("sentences") == F.sum("sentences").over(own)).alias("whole"))
 
 
 def unstated_languages(documents: DataFrame, model: Model) -> DataFrame:
