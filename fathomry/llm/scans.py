@@ -106,7 +106,7 @@ def edges_of(texts: pd.Series, titles: pd.Series, pages: pd.Series) -> pd.Series
     return pd.Series([edge_lines(t, h, p) for t, h, p in zip(texts, titles, pages, strict=True)])
 
 
-def running_lines(chunks: DataFrame) -> DataFrame:
+def running_lines(chunks: DataFrame, scratch: Scratch) -> DataFrame:
     """``chunk_id`` and ``drop`` (the numbers of its lines that are headers, footers or page numbers).
 
     A line at a page's edge is one if it is a page number of the chunk's pages, repeats the running title but for
@@ -117,6 +117,7 @@ def running_lines(chunks: DataFrame) -> DataFrame:
     """
     found = chunks.select("chunk_id", "paper_id", F.explode(edges_of("text", "title", "pages")).alias("e")).select("chunk_id", "paper_id", "e.*")
     found = found.withColumn("head", F.left("key", F.lit(10))).withColumn("tail", F.right("key", F.lit(10)))
+    found = scratch.keep(found, "edges")  # few rows; read by each of the counts below
     open_ = found.where(~F.col("sure"))
     counts = [
         open_.where(F.length(side) > 3).groupBy(F.col("paper_id").alias(f"_p{side}"), F.col(side).alias(f"_{side}")).agg(F.count("*").alias(f"n_{side}"))
@@ -186,7 +187,7 @@ def recased(model: Column, word: Column) -> Column:
 def numbered_lines(chunks: DataFrame, scratch: Scratch) -> DataFrame:
     """The lines of each chunk: ``chunk_id``, ``line_no``, ``line``, ``dropped``, and for body lines whether the last word
     is ``broken`` and how it goes on (``part``, ``rest``), and whether the line ``continues`` a broken word."""
-    drops = running_lines(chunks)
+    drops = running_lines(chunks, scratch)
     marked = chunks.join(drops, "chunk_id", "left").select("chunk_id", F.split("text", "\n").alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
     numbered = F.transform("lines", lambda x, i: F.struct((i + 1).cast("int").alias("line_no"), x.alias("line"), F.array_contains("drop", (i + 1).cast("int")).alias("dropped")))
     is_body = lambda x: ~x["dropped"] & (F.trim(x["line"]) != "")
