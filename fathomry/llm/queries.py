@@ -53,6 +53,10 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return scans.repairs(table(spark, folder, "chunks")).select("chunk_id", "line_no", "kind", "word").distinct()
 
 
+def p6_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.paragraphs(table(spark, folder, "chunks"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_documents(table(spark, folder, "documents")).select("doc_id", "ids")
 
@@ -89,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_survivors": p5_survivors,
     "p6_found": p6_found,
+    "p6_paragraphs": p6_paragraphs,
     "p7_ids": p7_ids,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,

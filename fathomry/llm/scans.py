@@ -223,7 +223,11 @@ def repairs(chunks: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     Null and empty texts have no lines to repair. Repeats of a chunk (same id and text) count once. Extra columns are
     ignored. Lines are split at each newline and counted from 1.
     """
-    scratch = scratch or Scratch(chunks.sparkSession)
+    return _lines_and_cases(chunks, scratch or Scratch(chunks.sparkSession))[1]
+
+
+def _lines_and_cases(chunks: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The lines of numbered_lines, and the cases of repairs."""
     once = chunks.where("text is not null").select("chunk_id", "paper_id", "title", "pages", "text").dropDuplicates(["chunk_id"])
     lines = numbered_lines(once, scratch)
     body = lines.where("not dropped")
@@ -261,4 +265,59 @@ def repairs(chunks: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     )
     whole = joined.withColumn("w", plain(F.col("word"))).join(small_side(fixes), "w", "left").withColumn("word", F.when(F.col("right").isNotNull(), recased(F.col("word"), F.col("right"))).otherwise(F.col("word"))).drop("w", "right")
     gone = lines.where("dropped").select("chunk_id", "line_no", F.lit("drop").alias("kind"), F.lit("").alias("word"), F.col("line").alias("seen"))
-    return gone.unionByName(whole).unionByName(fixed)
+    return lines, gone.unionByName(whole).unionByName(fixed)
+
+
+def _repaired_line() -> tuple[Column, Column]:
+    """A body line with its misread words put right and the broken word at its end made whole, and the same without its first word."""
+    n = F.size("words")
+    goes_on = F.col("joined").isNotNull()
+    inner = lambda i: (i >= F.when(F.col("continues"), 1).otherwise(0)) & (i < n - F.when(F.col("broken"), 1).otherwise(0))
+    right = lambda w, i: F.when(inner(i), F.coalesce(F.element_at("fixes", w), w)).when(goes_on & (i == n - 1), F.col("joined")).otherwise(w)
+    pieces = F.zip_with(F.transform("words", right), F.slice("gaps", F.lit(2), n), lambda w, g: F.concat(w, g))
+    pieces = F.when(goes_on, F.concat(F.slice(pieces, F.lit(1), n - 1), F.array("joined"))).otherwise(pieces)
+    text = F.concat(F.get("gaps", F.lit(0)), F.array_join(pieces, ""))
+    behind = F.concat(F.get("gaps", F.lit(1)), F.array_join(F.slice(pieces, F.lit(2), F.greatest(n - 1, F.lit(0))), ""))
+    more = F.when(F.startswith("joined", "part"), F.substr("joined", F.length("part") + 1)).otherwise(F.col("rest"))
+    return text, F.when(goes_on & (n == 1), more).otherwise(behind)
+
+
+def paragraphs(chunks: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The repaired text of each chunk: ``chunk_id``, ``paragraph`` (counted from 1) and ``text``, which is one line.
+
+    The cases of :func:`repairs` are joined back to the lines: running lines are left out, the word broken at a line's end
+    is written whole and misread words are put right. A paragraph begins at a line that is indented more than others of
+    the chunk and behind a blank line. Behind a blank line beside a running line it goes on, as that belongs to the
+    page, unless no line is indented, a sentence ends there and the next word had fitted on its line. A broken word
+    that was joined never ends a paragraph. Chunks without text or with running lines alone have no paragraphs. Lines
+    are gathered within a chunk only.
+    """
+    scratch = scratch or Scratch(chunks.sparkSession)
+    lines, cases = _lines_and_cases(chunks, scratch)
+    is_char = F.col("kind") == "char"
+    mended = cases.where("kind <> 'drop'").groupBy("chunk_id", "line_no").agg(
+        F.map_from_entries(F.collect_set(F.when(is_char, F.struct("seen", "word")))).alias("fixes"), F.max(F.when(F.col("kind") == "join", F.col("word"))).alias("joined"),
+    )
+    split = lines.join(mended, ["chunk_id", "line_no"], "left").withColumn("words", F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(1))).withColumn("gaps", F.split("line", WORD, -1))
+    text, behind = _repaired_line()
+    own = F.struct(
+        "line_no", F.rtrim(text).alias("text"), F.rtrim(behind).alias("behind"), F.col("joined").isNotNull().alias("goes_on"), F.length(F.rtrim("line")).alias("length"),
+        F.length(F.regexp_extract("line", r"^[ \t]*", 0)).alias("indent"), F.length(F.regexp_extract("line", r"^\s*(\S*)", 1)).alias("first"),
+    )
+    filled = ~F.col("dropped") & F.col("line").rlike(r"\S")
+    gathered = split.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.when(filled, own))).alias("body"), F.collect_list(F.when(F.col("dropped"), F.col("line_no"))).alias("gone"))
+    measured = gathered.select("chunk_id", "body", "gone", F.array_min("body.indent").alias("margin"), F.array_max("body.indent").alias("most"), F.array_max("body.length").alias("width"))
+
+    def piece(x: Column, i: Column) -> Column:
+        last = F.get("body", i - 1)
+        goes_on = (i > 0) & last["goes_on"]
+        blank_or_gone = x["line_no"] - last["line_no"] > 1
+        at_page = blank_or_gone & F.exists("gone", lambda d: (d > last["line_no"]) & (d < x["line_no"]))
+        blank = blank_or_gone & (x["line_no"] - last["line_no"] - 1 > F.size(F.filter("gone", lambda d: (d > last["line_no"]) & (d < x["line_no"]))))
+        ended = (F.col("margin") == F.col("most")) & last["text"].rlike(r"[.?!][)\]\"'’”»]*$") & (last["length"] + 1 + x["first"] <= F.col("width"))
+        begins = (x["indent"] > F.col("margin")) | (blank & (~at_page | ended))
+        return F.when(i == 0, F.ltrim(x["text"])).when(goes_on, x["behind"]).when(begins, F.concat(F.lit("\n"), F.ltrim(x["text"]))).otherwise(F.concat(F.lit(" "), F.ltrim(x["text"])))
+
+    whole = F.array_join(F.transform("body", piece), "")
+    found = measured.where(F.size("body") > 0).select("chunk_id", F.posexplode(F.split(whole, "\n")).alias("_n", "text"))
+    return found.select("chunk_id", (F.col("_n") + 1).alias("paragraph"), "text")

@@ -139,6 +139,25 @@ def test_repairs(spark):
     assert scans.repairs(spark.createDataFrame([], CHUNKS)).count() == 0
 
 
+def test_paragraphs(spark):
+    common = "the council and the post-test members rated the hand-checked letters in both the pre- and post-test phases of an international study\n\n" * 60
+    scanned = (
+        "   Tlie coun-\ncil, rated (hand-\n- 4 -\n\nMORAL PLEAS IN 1ETTERS\nchecked) letters in the pre-\nand post-test phases of an inter-\nna-\ntional study.\n   Tlie membcrs\n\n- 5 -\nrated the tlie-like letters.\n\n2. Method\n\nthe membcrs (Tlie, 2001) rated"
+    )
+    pages = "the council rated the letters of the members.\n- 4 -\n\nthe members rated the letters.\n\n- 5 -\nthe study"
+    rows = [("a", "p", "Moral pleas in letters: a study", [4, 5], scanned, "clash", 1), ("a", "p", "Moral pleas in letters: a study", [4, 5], scanned, "clash", 2), ("b", "q", "Other", None, common, "", 3), ("c", "q", None, None, None, "", 4), ("d", None, "", [], "\n \n", "", 5), ("e", "r", "Pages", [4, 5], pages, "", 6), ("f", "r", "Pages", [7], "- 7 -", "", 7)]
+    found = {}
+    for r in scans.paragraphs(spark.createDataFrame(rows, CHUNKS)).orderBy("chunk_id", "paragraph").collect():
+        found.setdefault(r.chunk_id, []).append(r.text)
+        assert r.paragraph == len(found[r.chunk_id])
+    assert set(found) == {"a", "b", "e"} and found["b"] == common.strip().split("\n\n")
+    assert found["a"] == [
+        "The council, rated (hand-checked) letters in the pre- and post-test phases of an international study.", "The members rated the tlie-like letters.", "2. Method", "the members (The, 2001) rated",
+    ]
+    assert found["e"] == ["the council rated the letters of the members. the members rated the letters.", "the study"]
+    assert scans.paragraphs(spark.createDataFrame([], CHUNKS)).count() == 0
+
+
 def test_encoding(spark):
     encode = encoding.encoder().encode_ordinary
     rng = random.Random(3)
