@@ -27,12 +27,36 @@ def keys_of(rows: DataFrame, position: str, keys: list[tuple[str, Column]]) -> D
     return rows.select(F.col(position).alias("item"), F.explode(made).alias("key"))
 
 
+#: A DOI with more distinct titles than this isn't that of a paper but of what holds the papers.
+TITLES_OF_DOI = 20
+
+
+def paper_keys(rows: DataFrame, position: str, doi: Column, addresses: list[Column], title: Column, year: Column, author: Column, most_titles: int = TITLES_OF_DOI) -> DataFrame:
+    """``item`` and ``key`` of papers: DOI, arXiv number, title, and title with year and first author if all three are there.
+
+    The arXiv number is taken from the DOI or else from the first of the *addresses* at arXiv. A DOI that rows with more
+    than *most_titles* distinct titles share (over all rows) names a volume and is no key; the other keys of its rows stay.
+    """
+    at = [F.regexp_extract(F.lower(a), r"arxiv\.org/(?:abs|pdf)/\S+", 0) for a in addresses]
+    older = [F.nullif(F.regexp_extract(F.lower(c), r"arxiv(?:\.org/(?:abs|pdf)/|[:.]\s*)([a-z][a-z.-]+/\d{7})", 1), F.lit("")) for c in (doi, *addresses)]
+    arxiv = F.coalesce(text.arxiv_id(doi), *[text.arxiv_id(a) for a in at], *older)
+    made = rows.select(F.col(position).alias("item"), text.normalize_doi(doi).alias("doi"), arxiv.alias("arxiv"), F.nullif(text.normalize_title(title), F.lit("")).alias("title"), year.cast("string").alias("year"), F.nullif(text.surname(author), F.lit("")).alias("author"))
+    volumes = made.where("doi is not null").groupBy("doi").agg(F.count_distinct("title").alias("_n")).where(F.col("_n") > most_titles).select("doi", F.lit(True).alias("_volume"))
+    marked = made.join(volumes, "doi", "left")
+    keys = [("doi", F.when(F.col("_volume").isNull(), F.col("doi"))), ("arxiv", F.col("arxiv")), ("title", F.col("title")), ("hint", F.concat(F.col("title"), F.lit("|"), F.col("year"), F.lit("|"), F.col("author")))]
+    return keys_of(marked, "item", keys)
+
+
 def resolved_groups(rows: DataFrame, position: str, keys: list[tuple[str, Column]], scratch: Scratch | None = None) -> DataFrame:
     """``item`` and ``group`` (its least item) of all rows: rows that share any key, directly or through others, are one.
 
     Each key links its rows to the least of them, so a key held by very many rows costs a row each, not their pairs.
     """
-    held = keys_of(rows, position, keys)
+    return groups_of_keys(rows, position, keys_of(rows, position, keys), scratch)
+
+
+def groups_of_keys(rows: DataFrame, position: str, held: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The same from the ``item`` and ``key`` of the keys that rows hold."""
     least = held.groupBy("key").agg(F.min("item").alias("b"))
     links = held.join(least, "key").select(F.col("item").alias("a"), "b").where("a <> b")
     found = linked_groups(links, scratch)

@@ -98,8 +98,8 @@ def status_of_venue(spark, folder):
 @query("resolved_papers")
 def resolved_papers(spark, folder):
     c = table(spark, folder, "candidates")
-    keys = [("doi", F.nullif(t.normalize_doi(F.col("doi")), F.lit("10.5555/proceedings.volume"))), ("hint", F.concat_ws("|", F.nullif(t.normalize_title(F.col("title")), F.lit("")), F.col("year").cast("string"), t.surname(F.get("authors", F.lit(0)))))]
-    groups = res.resolved_groups(c, "pos", keys)
+    held = res.paper_keys(c, "pos", F.col("doi"), [F.col("landing_page_url"), F.array_join("candidate_pdf_urls", " ")], F.col("title"), F.col("year"), F.get("authors", F.lit(0)))
+    groups = res.groups_of_keys(c, "pos", held)
     return res.merged_records(c.select("pos", "title", "doi", "year", "venue", "abstract", "citation_count", "source_apis"), groups, "pos", ["title", "doi", "year", "venue"], ["abstract"], ["citation_count"], ["source_apis"])
 
 

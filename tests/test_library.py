@@ -175,6 +175,21 @@ def test_resolution(spark):
     assert (merged[1].title, merged[1].abstract, merged[1].apis) == ("T one", "longer", ["a", "b"])
 
 
+def test_paper_keys(spark):
+    rows = [
+        (1, "10.1/a", None, "One title", 2001, "S. Wamar"), (2, None, None, "<i>One</i> title", None, None), (3, "10.48550/arXiv.2101.00001v2", None, "Other", 2002, None), (4, None, "https://arxiv.org/abs/2101.00001", "Another", 2002, None),
+        (5, None, None, "Заглавие", 2001, "S. Wamar"), (6, None, None, "Другое", 2001, "S. Wamar"), (7, None, None, None, None, None), (8, None, "https://a.b/pdf/1234.56789", "Last", None, None),
+        (9, None, "https://a.b/pdf/1234.56789", "Least", None, None), (10, "10.48550/arxiv.cs/0112017", None, "Older", None, None), (11, None, "https://arxiv.org/pdf/cs/0112017v2.pdf", "Old", None, None),
+    ] + [(100 + i, "10.9/volume", None, f"Part {i}", 2003, "A. Sole") for i in range(30)]
+    df = spark.createDataFrame(rows, "pos long, doi string, url string, title string, year int, author string")
+    held = resolve.paper_keys(df, "pos", F.col("doi"), [F.col("url")], F.col("title"), F.col("year"), F.col("author"))
+    groups = {r.item: r.group for r in resolve.groups_of_keys(df, "pos", held).collect()}
+    assert groups == {i: i for i, *_ in rows} | {2: 1, 4: 3, 11: 10}
+    assert {r.key for r in held.where("item in (2, 5, 7)").collect()} == {"title:one title"}
+    few = resolve.paper_keys(df, "pos", F.col("doi"), [F.col("url")], F.col("title"), F.col("year"), F.col("author"), most_titles=30)
+    assert {r.group for r in resolve.groups_of_keys(df, "pos", few).where("item >= 100").collect()} == {100}
+
+
 def test_decisions_and_ledgers(spark):
     events = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b"), ("", 3, "c"), (None, 4, "d")], "key string, seq int, action string")
     latest = features.last_rows(events, ["key"], ["seq"])
