@@ -104,6 +104,17 @@ def test_match_references(spark):
     assert matching.match_references(spark.createDataFrame(refs, REFS), spark.createDataFrame([], CANDIDATES)).count() == 0
 
 
+def test_pairs_of_misspelt_titles(spark):
+    right = "Quiet letters from distant harbours and narrow valleys before winter"
+    typed = "Quiet letters from distant habours and narow valleys befre winter"
+    once = ["distant habours", "habours narow", "narow valleys", "valleys befre", "befre winter"]
+    candidates = [(1, None, right, ["S. Wamarson"], 2001, None, "", "")] + [(10 + i, None, f"Other {x} study of {i} things", ["S. Wamarlong"], 2001, None, "", "") for i, x in enumerate(once)]
+    candidates += [(20 + i, None, f"{x} number {i} of them all", ["T. Other"], 1990, None, "", "") for i, x in enumerate(["Quiet letters", "Letters distant"] * 3)]
+    refs = [(1, typed, "S. Wamarsen", "2001", None, "")]
+    got = matching.match_references(spark.createDataFrame(refs, REFS), spark.createDataFrame(candidates, CANDIDATES))
+    assert [(r.pos, r.ref_id) for r in got.collect()] == [(1, 1)]
+
+
 def test_survivors(spark):
     at = datetime(2024, 1, 1)
     rows = [
