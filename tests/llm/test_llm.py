@@ -115,6 +115,18 @@ def test_pairs_of_misspelt_titles(spark):
     assert [(r.pos, r.ref_id) for r in got.collect()] == [(1, 1)]
 
 
+def test_narrow_rules(spark):
+    titles = ["Quiet letters from distant harbours and narrow valleys", "Seven bridges over muddy rivers after heavy rain", "Several gardens behind broken walls near old towns", "Painted ships within frozen lakes under grey skies"]
+    authors = ["Dornikar", "Krevambak", "Bendique", "Prilmaamor"]
+    candidates = [(i, None, t, [f"S. {a}"], 2001, None, "", "") for i, (t, a) in enumerate(zip(titles, authors))] + [(10, None, "Editorial", ["A. Sole"], 1990, "10.5555/e", "", ""), (11, None, "Preface", ["A. Sole"], 1990, "10.5555/v", "", "")]
+    candidates += [(100 + i, None, f"Chapter of {i} things", ["A. Sole"], 1990, "10.5555/v", "", "") for i in range(60)]
+    typed = ["Quiet leters from distant harbours and narrow valleys", "Seven brdges over muddy rivers after heavy rain", "Several gardns behind broken walls near old towns"]
+    refs = [(0, typed[0], "S. Bornikar", "2001", None, ""), (1, typed[1], None, "2001", None, ""), (2, typed[2], "S. Vendiquo", "2001", None, ""), (3, "Editoral", "B. Else", "1991", "10.5555/e", ""), (4, "Preface", "B. Else", "1991", "10.5555/v", "")]
+    got = matching.match_references(spark.createDataFrame(refs, REFS), spark.createDataFrame(candidates, CANDIDATES))
+    assert {(r.pos, r.ref_id) for r in got.collect()} == {(0, 0), (1, 1), (2, 2), (10, 3), (11, 4)}
+    assert matching.first_surname("S. Wamar und andere") == "wamar" and matching.first_surname("ludwig van wamar") == "wamar"
+
+
 def test_survivors(spark):
     at = datetime(2024, 1, 1)
     rows = [
