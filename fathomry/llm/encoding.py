@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import functools
 import os
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,10 +16,11 @@ from pyspark.sql import types as T
 
 from ..shared import Scratch
 
-#: Characters of a leaf. Texts up to it are encoded as they are; longer ones by a tree of halves.
-LEAF = 32_768
+#: Characters of a leaf, and of the parts of a long text that different tasks encode; parts that a task joins at once.
+LEAF, PART, FAN_IN = 1_000, 16_384, 8
 VOCABULARY = "byte_bpe_50k.tiktoken"
 IDS = T.ArrayType(T.IntegerType())
+ELEMENT = T.StructType([T.StructField("head", T.StringType()), T.StructField("ids", IDS), T.StructField("tail", T.StringType())])
 
 
 def tokenizer_folder() -> str:
@@ -36,58 +39,88 @@ def encoder(folder: str | None = None, vocabulary: str = VOCABULARY):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def surely_begins(text: str, i: int) -> bool:
-    """Whether a piece of the tokenizer's pattern begins at *i*, whatever stands farther away.
+_PLACE = re.compile(r"(?<=\S)[ \n\t]")
 
-    No piece holds white space behind another character, so one begins wherever a blank follows a character that is
-    none; which one it is depends on what comes, never on what came.
+
+@dataclass(frozen=True)
+class Encoded:
+    """The encoding of a stretch of text, as far as it is sure whatever stands before and behind it.
+
+    No piece of the tokenizer's pattern holds white space behind another character, so a piece begins wherever a blank
+    follows a character that is none; how it goes on depends on what comes, never on what came. ``ids`` are those of the text between the
+    first and the last such place, which stay as they are. ``head`` and ``tail`` are the texts outside, which are encoded
+    together with what they meet. ``ids`` is None if there is no such place; then all of the text is in ``head``.
     """
-    return 0 < i < len(text) and text[i] in " \n\t" and not text[i - 1].isspace()
+
+    head: str
+    ids: list[int] | None = None
+    tail: str = ""
 
 
-def join(left: tuple[str, list[int]], right: tuple[str, list[int]], encode, window: int = 64) -> tuple[str, list[int]]:
-    """The encoding of two neighbouring texts together, from their own encodings.
+def encoded(text: str, encode) -> Encoded:
+    """The element of a leaf."""
+    first = _PLACE.search(text)
+    if first is None:
+        return Encoded(text)
+    begin, end = first.start(), len(text) - 1
+    while not (text[end] in " \n\t" and not text[end - 1].isspace()):
+        end -= 1
+    return Encoded(text[:begin], encode(text[begin:end]) if begin < end else [], text[end:])
 
-    Tokens never cross the pieces into which the tokenizer's pattern cuts a text. So the tokens before the last place
-    of the left text and behind the first place of the right text where a piece surely begins stay as they are. The
-    window around the boundary grows until it shows both places, or a text's other end; only the text between them is
-    encoded again.
+
+def join(a: Encoded, b: Encoded, encode) -> Encoded:
+    """The element of two neighbouring stretches; associative, and ``Encoded("")`` changes nothing.
+
+    Only the window between the last sure place of the left and the first of the right is encoded. Where a side has
+    none, the window grows by all of it and waits for the next neighbour.
     """
-    (a, ids_a), (b, ids_b) = left, right
-    if not a or not b:
-        return a + b, [*ids_a, *ids_b]
-    size = window
-    while True:
-        low, high = max(0, len(a) - size), min(len(b), size)
-        begin = next((i for i in range(len(a) - 1, low, -1) if surely_begins(a, i)), 0 if low == 0 else None)
-        end = next((i for i in range(1, high) if surely_begins(b, i)), len(b) if high == len(b) else None)
-        if begin is not None and end is not None:
-            gone, over = len(encode(a[begin:])), len(encode(b[:end]))
-            return a + b, [*ids_a[: len(ids_a) - gone], *encode(a[begin:] + b[:end]), *ids_b[over:]]
-        size *= 4
+    if a.ids is not None and b.ids is not None:
+        return Encoded(a.head, [*a.ids, *encode(a.tail + b.head), *b.ids], b.tail)
+    x, y = a.head if a.ids is None else a.tail, b.head
+    between = bool(x and y) and y[0] in " \n\t" and not x[-1].isspace()
+    if a.ids is not None:
+        return Encoded(a.head, [*a.ids, *encode(x)], y) if between else Encoded(a.head, a.ids, x + y)
+    if b.ids is not None:
+        return Encoded(x, [*encode(y), *b.ids], b.tail) if between else Encoded(x + y, b.ids, b.tail)
+    return Encoded(x, [], y) if between else Encoded(x + y)
+
+
+def tree(parts: list, encode, element) -> Encoded:
+    """The joined elements of *parts*, by halves."""
+    if len(parts) == 1:
+        return element(parts[0])
+    half = len(parts) // 2
+    return join(tree(parts[:half], encode, element), tree(parts[half:], encode, element), encode)
+
+
+def stretch(text: str, encode, leaf: int) -> Encoded:
+    """The element of a text, by a tree over its leaves."""
+    return tree([text[i : i + leaf] for i in range(0, max(1, len(text)), leaf)], encode, lambda t: encoded(t, encode))
+
+
+def finished(e: Encoded, encode) -> list[int]:
+    """The ids of a whole text."""
+    return encode(e.head) if e.ids is None else [*encode(e.head), *e.ids, *encode(e.tail)]
 
 
 def encode_text(text: str | None, encode, leaf: int = LEAF) -> list[int]:
     """The ids of a text, by halves if it is longer than a leaf."""
-    def tree(t: str) -> tuple[str, list[int]]:
-        if len(t) <= leaf:
-            return t, encode(t)
-        half = len(t) // 2
-        return join(tree(t[:half]), tree(t[half:]), encode)
+    if not text:
+        return []
+    return encode(text) if len(text) <= leaf else finished(stretch(text, encode, leaf), encode)
 
-    return tree(text)[1] if text else []
 
-
-def encode_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, folder: str | None = None, leaf: int = LEAF, scratch: Scratch | None = None) -> DataFrame:
+def encode_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, folder: str | None = None, leaf: int = LEAF, part: int = PART, scratch: Scratch | None = None) -> DataFrame:
     """*key* and ``ids`` (the token ids, without special tokens) of each row.
 
-    Method: monoid tree reduction. A text longer than *leaf* characters is cut into leaves, which Spark spreads over
-    its tasks; neighbours are then joined level by level, each join encoding again only a window around the boundary
-    that grows until the tokens outside are proven to stay (see join). Other texts are leaves themselves. A level
-    groups two rows, so no task holds more than two neighbours of a text.
+    Method: monoid tree reduction. A text is cut into leaves of *leaf* characters, and neighbours are joined by halves; a
+    join encodes again only the window around the boundary that grows to the places where the tokens outside are proven
+    to stay (see Encoded and join). The tree of a text of up to *part* characters stands within a row; the parts of a longer one are spread
+    over the tasks and joined level by level, FAN_IN neighbours in a task. What goes up the tree are ids and the two
+    windows at the ends, never the text between; a stretch without any blank is such a window as a whole.
 
-    Null and empty texts both give an empty list. The text is taken exactly as it is. Rows that repeat a key and text
-    give a row each if the text is no longer than a leaf, else one. Extra columns are ignored.
+    Null and empty texts both give an empty list. The text is taken exactly as it is. Each row gives a row, also those
+    that repeat a key, with the same or another text. Extra columns are ignored.
     """
     rows = documents.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("text"))
 
@@ -95,33 +128,51 @@ def encode_documents(documents: DataFrame, key: str = "doc_id", text: str = "tex
     def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = encoder(folder, vocabulary).encode_ordinary
         for texts in batches:
-            yield texts.map(lambda t: encode(t) if t else [])
+            yield texts.map(lambda t: encode_text(t, encode, leaf))
 
-    short = rows.where(F.col("text").isNull() | (F.length("text") <= leaf)).select(key, ids_of("text").alias("ids"))
-    long = rows.where(F.length("text") > leaf).dropDuplicates([key])
-    most = long.agg(F.max(F.length("text"))).first()[0]
+    short = rows.where(F.col("text").isNull() | (F.length("text") <= part)).select(key, ids_of("text").alias("ids"))
+    long = rows.where(F.length("text") > part).withColumn("_text", F.xxhash64("text"))
+    copies = long.groupBy(key, "_text").agg(F.count("*").alias("_copies"), F.max(F.length("text")).alias("_length"))
+    most = copies.agg(F.max("_length")).first()[0]
     if most is None:
         return short
     scratch = scratch or Scratch(documents.sparkSession)
-    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / leaf).cast("int"))
-    leaves = long.select(key, F.posexplode(F.transform(starts, lambda i: F.substring("text", i * leaf + 1, F.lit(leaf)))).alias("at", "text"))
-    level = scratch.keep(leaves.repartition(key, "at").select(key, "at", "text", ids_of("text").alias("ids")), "level0")
+
+    @F.pandas_udf(ELEMENT)
+    def element_of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encode = encoder(folder, vocabulary).encode_ordinary
+        for texts in batches:
+            made = [stretch(t, encode, leaf) for t in texts]
+            yield pd.DataFrame({"head": [e.head for e in made], "ids": [e.ids for e in made], "tail": [e.tail for e in made]})
+
+    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / part).cast("int"))
+    parts = long.select(key, "_text", F.posexplode(F.transform(starts, lambda i: F.substring("text", i * part + 1, F.lit(part)))).alias("at", "text"))
+    parts = parts.dropDuplicates([key, "_text", "at"]).repartition(F.col(key), F.col("_text"), F.col("at"))
+    level = scratch.keep(parts.select(key, "_text", "at", element_of("text").alias("e")).select(key, "_text", "at", "e.*"), "level0")
     schema = level.schema
 
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         encode = encoder(folder, vocabulary).encode_ordinary
         pdf = pdf.sort_values("at")
-        done = (pdf["text"].iloc[0], list(pdf["ids"].iloc[0]))
-        for t, i in zip(pdf["text"].iloc[1:], pdf["ids"].iloc[1:], strict=True):
-            done = join(done, (t, list(i)), encode)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "at": [pdf["at"].iloc[0] // 2], "text": [done[0]], "ids": [[int(x) for x in done[1]]]})
+        own = [Encoded(h, None if i is None else list(i), t) for h, i, t in zip(pdf["head"], pdf["ids"], pdf["tail"], strict=True)]
+        e = tree(own, encode, lambda x: x)
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "_text": [pdf["_text"].iloc[0]], "at": [pdf["at"].iloc[0] // FAN_IN], "head": [e.head], "ids": [None if e.ids is None else [int(x) for x in e.ids]], "tail": [e.tail]})
 
-    n, size = 1, leaf
+    n, size = 1, part
     while size < most:
-        level = scratch.keep(level.groupBy(F.col(key), F.floor(F.col("at") / 2).alias("_half")).applyInPandas(pair, schema), f"level{n}")
+        level = scratch.keep(level.groupBy(F.col(key), F.col("_text"), F.floor(F.col("at") / FAN_IN).alias("_up")).applyInPandas(joined, schema), f"level{n}")
         scratch.drop(f"level{n - 1}")
-        n, size = n + 1, size * 2
-    return short.unionByName(level.select(key, "ids"))
+        n, size = n + 1, size * FAN_IN
+
+    @F.pandas_udf(IDS)
+    def finish(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        encode = encoder(folder, vocabulary).encode_ordinary
+        for heads, ids, tails in batches:
+            yield pd.Series([finished(Encoded(h, None if i is None else list(i), t), encode) for h, i, t in zip(heads, ids, tails, strict=True)])
+
+    same = [level[key].eqNullSafe(copies[key]), level["_text"] == copies["_text"]]
+    whole = level.join(copies, same).select(level[key], "head", "ids", "tail", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))).alias("_n"))
+    return short.unionByName(whole.select(key, finish("head", "ids", "tail").alias("ids")))
 
 
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
@@ -135,12 +186,20 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
     return documents.withColumn("tokens", count(F.col(f"`{text}`")))
 
 
+def decoded(ids: list[int], codec, leaf: int = LEAF) -> bytes:
+    """The bytes of ids, put together by halves."""
+    if len(ids) <= leaf:
+        return codec.decode_bytes(ids)
+    half = len(ids) // 2
+    return decoded(ids[:half], codec, leaf) + decoded(ids[half:], codec, leaf)
+
+
 def decode_documents(encoded: DataFrame, ids: str = "ids", vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
-    """*encoded* with ``text``, the texts of the ids: the tokens' bytes put together."""
+    """*encoded* with ``text``, the texts of the ids: the tokens' bytes put together up the tree. Null ids give null."""
     @F.pandas_udf(T.StringType())
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = encoder(folder, vocabulary)
         for lists in batches:
-            yield lists.map(lambda x: codec.decode_bytes([int(i) for i in x]).decode("utf-8", "replace") if x is not None else None)
+            yield lists.map(lambda x: decoded([int(i) for i in x], codec).decode("utf-8", "replace") if x is not None else None)
 
     return encoded.withColumn("text", decode(F.col(f"`{ids}`")))

@@ -61,6 +61,11 @@ def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoding.encode_documents(table(spark, folder, "documents")).select("doc_id", "ids")
 
 
+def p7_decoded(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest of each text that comes back from its ids: an exact round trip over all documents."""
+    return encoding.decode_documents(p7_ids(spark, folder)).select("doc_id", F.md5("text").alias("digest"))
+
+
 def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
 
@@ -95,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": p6_found,
     "p6_paragraphs": p6_paragraphs,
     "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
@@ -113,6 +119,7 @@ e AS (SELECT a, b FROM m UNION SELECT b, a FROM m), cc(id, comp) USING KEY (id)
 SELECT a AS id, min(least(a, b)) AS comp FROM e GROUP BY a UNION
 SELECT e.b AS id, min(cc.comp) AS comp FROM cc JOIN e ON e.a = cc.id JOIN recurring.cc AS r ON r.id = e.b WHERE cc.comp < r.comp GROUP BY e.b)
 SELECT comp AS group_id, id AS row_index FROM cc""",
+    "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
     "p5_found": f"""WITH c AS (SELECT pos, dup_group, {_TRIMMED.format(c='abstract')} AS a, {_PLAIN.format(c='abstract')} AS p, lower(regexp_replace({_TRIMMED.format(c='venue')}, '[\\s\\x{{a0}}]+', ' ', 'g')) AS v,
  len(list_filter(coalesce(candidate_pdf_urls, []), lambda x: x IS NOT NULL AND regexp_matches({_TRIMMED.format(c='x')}, '(?i)^https?://[^\\s/?#]+\\.?[^\\s]*$'))) AS n FROM candidates WHERE dup_group IS NOT NULL),
 w AS (SELECT dup_group, 'abstract' AS field, pos FROM c WHERE p NOT IN ({_STAND_INS}) AND NOT regexp_matches(a, '(?i){survivors.CUT}') AND regexp_matches(a, '{survivors.SENTENCE_END.replace("'", "''")}')
