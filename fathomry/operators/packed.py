@@ -11,12 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import BROADCAST_ROWS, rows_if_small
+from ..shared import BROADCAST_ROWS, Scratch
 
 #: The marks between values. A slash separates only between blanks.
 SEPARATORS = r"\|\||;;|[|;,；，、•·\n\r\t]|(?:(?<=\s)|^)/(?=\s|$)"
 #: Marks of quotation, the opening one and the closing one.
 QUOTES = {'"': '"', "'": "'", "“": "”", "«": "»", "‘": "’", "„": "“", "`": "`"}
+#: A word, and the letters of a dictionary that every task may hold.
+WORDS = r"[\p{L}\p{N}]+"
+BROADCAST_LETTERS = 8_000_000
 BLANKS = " \t\r\n ​﻿  "
 
 _SEPARATOR = re.compile(r"(?<!\\)(?:" + SEPARATORS + ")")
@@ -152,26 +155,40 @@ def known_values(texts: DataFrame, names: DataFrame | None = None) -> DataFrame:
     values = texts.select(F.explode(certain_values(F.col("text"))).alias("value"))
     if names is not None:
         values = values.unionByName(names.select(F.lower(F.trim("value")).alias("value")))
-    return values.where(F.col("value").rlike(r"[|;,；，、•·]| / ") & (F.length("value") <= 200)).distinct()
+    return values.where(F.col("value").rlike(r"[|;,；，、•·]| / ")).distinct()
 
 
-def split_packed(rows: DataFrame, keys: list[str], fields: list[str], names: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def held_values(known: DataFrame, rows: int, letters: int) -> list[str] | None:
+    """The values of the dictionary if they are checked to be at most *rows* with at most *letters* letters, else None."""
+    n, total = known.agg(F.count("*"), F.coalesce(F.sum(F.length("value")), F.lit(0))).first()
+    return sorted(r.value for r in known.collect()) if n <= rows and total <= letters else None
+
+
+def values_by_word(known: DataFrame, words: DataFrame) -> DataFrame:
+    """Each value (``_v``) of the dictionary with the one of its words (``_w``) that the fewest texts hold; *words* has those of each text."""
+    counts = words.groupBy("_w").agg(F.count("*").alias("_n"))
+    own = known.select(F.col("value").alias("_v"), F.explode(F.array_distinct(F.regexp_extract_all("value", F.lit(WORDS), F.lit(0)))).alias("_w"))
+    return own.join(counts, "_w").groupBy("_v").agg(F.min(F.struct("_n", "_w")).alias("_m")).select("_v", "_m._w")
+
+
+def split_packed(rows: DataFrame, keys: list[str], fields: list[str], names: DataFrame | None = None, broadcast_rows: int = BROADCAST_ROWS, broadcast_letters: int = BROADCAST_LETTERS) -> DataFrame:
     """One row for each value in the packed *fields* of *rows*: *keys*, ``field``, ``position`` (from 1), ``value``.
 
     Method: dictionary-guided segmentation. A multi-pattern automaton finds known whole values in each text, and
     dynamic programming picks the cheapest cover, so that separators inside a known or quoted value don't split it.
     The dictionary holds the values with separators that all texts quote or escape, plus *names*. It goes to every task
-    if it is checked to have at most *broadcast_rows* rows; else each text gets its own candidates by a join on words.
+    if it is checked to have at most *broadcast_rows* rows and *broadcast_letters* letters; else each text gets its own
+    candidates by a join on the word of each value that the fewest texts hold. Both ways find the same values.
 
     Null, blank and separator-only texts give no row; empty pieces are no values and don't count; a value given twice
-    gives two rows. Rows that repeat keys and text give one set of rows. Values have at most 200 characters to enter
-    the dictionary; there is no limit for others or for texts. Extra columns are ignored.
+    gives two rows. Rows that repeat keys and text give one set of rows. Values and texts may have any length. Extra
+    columns are ignored.
     """
     packed = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("text")) for f in fields])
     texts = rows.select(*[F.col(f"`{k}`") for k in keys], F.explode(packed).alias("_p")).select(*keys, "_p.field", "_p.text").where("trim(text) != ''").distinct()
-    known = known_values(texts, names)
-    if (found := rows_if_small(known, broadcast_rows)) is not None:
-        words = rows.sparkSession.sparkContext.broadcast(sorted(r.value for r in found))
+    known = Scratch(rows.sparkSession).keep(known_values(texts, names), "known")
+    if (found := held_values(known, broadcast_rows, broadcast_letters)) is not None:
+        words = rows.sparkSession.sparkContext.broadcast(found)
 
         @F.pandas_udf("array<string>")
         def cover(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -181,14 +198,9 @@ def split_packed(rows: DataFrame, keys: list[str], fields: list[str], names: Dat
 
         split = texts.select(*keys, "field", F.posexplode(cover("text")).alias("_n", "value"))
     else:
-        word = r"[\p{L}\p{N}]+"
-        by_word = known.select(F.regexp_extract("value", word, 0).alias("_w"), F.col("value").alias("_v"))
-        held = (
-            texts.select("text").distinct()
-            .select("text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("_w"))
-            .join(by_word, "_w").where(F.contains(F.lower("text"), F.col("_v")))
-            .groupBy("text").agg(F.collect_set("_v").alias("_known"))
-        )
+        once = texts.select("text").distinct()
+        words = once.select("text", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0)))).alias("_w"))
+        held = words.join(values_by_word(known, words), "_w").where(F.contains(F.lower("text"), F.col("_v"))).groupBy("text").agg(F.collect_set("_v").alias("_known"))
 
         @F.pandas_udf("array<string>")
         def cover_with(texts: pd.Series, known: pd.Series) -> pd.Series:

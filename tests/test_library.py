@@ -97,6 +97,16 @@ def test_packed(spark, broadcast_rows):
     assert packed.split_packed(df.limit(0), ["id"], ["one"]).count() == 0
 
 
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_packed_long_values(spark, broadcast_rows):
+    value = "praise for " + "very " * 40 + "old habits, then blame for them"
+    df = spark.createDataFrame([(1, f'"{value}"; x'), (2, f"{value}; y"), (3, "praise, then; blame")], "id long, one string")
+    found = {}
+    for r in sorted(packed.split_packed(df, ["id"], ["one"], None, broadcast_rows).collect()):
+        found.setdefault(r.id, []).append(r.value)
+    assert found == {1: [value, "x"], 2: [value, "y"], 3: ["praise", "then", "blame"]}
+
+
 def test_packed_long(spark):
     df = spark.createDataFrame([(1, ", ".join(f"v{i}" for i in range(20_000)))], "id long, one string")
     assert packed.split_packed(df, ["id"], ["one"]).count() == 20_000
