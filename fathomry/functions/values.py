@@ -55,3 +55,9 @@ def total_score(literature: Column, annotation: Column, distinct: Column) -> Col
 
 def clamped(c: Column, low: float = 0.0, high: float = 1.0, default: float = 0.5) -> Column:
     return F.round(F.least(F.greatest(number(c, default), F.lit(low)), F.lit(high)), 4)
+
+
+def labelled_text(fields: list[tuple[str, Column]]) -> Column:
+    """The arrays of texts as lines "label: a; b", without blank values and without lines of none."""
+    held = [(label, F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v.isNotNull() & (F.trim(v) != ""))) for label, values in fields]
+    return F.concat_ws("\n", *[F.when(F.size(v) > 0, F.concat(F.lit(f"{label}: "), F.array_join(v, "; "))) for label, v in held])

@@ -20,6 +20,13 @@ def chunk_words(documents: DataFrame, key: str, text: str, size: int = 700, step
     return made.withColumn("words", F.size(F.split("text", " "))).where(F.col("words") >= least)
 
 
+def page_chunks(pages: DataFrame, paper: str, page: str, keep: list[str], text: str, size: int = 700, step_back: int = 80, least: int = 40) -> DataFrame:
+    """The word windows of each page: *keep*, *paper*, *page*, ``piece`` (paper:pP:cI, counted before short ones are dropped), ``text``, ``words``."""
+    made = pages.select(*keep, paper, page, F.posexplode(t.word_windows(F.col(text), size, step_back)).alias("_i", "text"))
+    piece = F.concat(F.col(paper), F.lit(":p"), F.col(page).cast("string"), F.lit(":c"), F.col("_i").cast("string"))
+    return made.select(*keep, paper, page, piece.alias("piece"), "text", F.size(F.split("text", " ")).alias("words")).where(F.col("words") >= least)
+
+
 def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
     """The first distinct words of each query: *key*, ``term``."""
     return queries.select(key, F.explode(F.slice(F.array_distinct(t.tokens(F.col(text))), 1, QUERY_TERMS)).alias("term"))

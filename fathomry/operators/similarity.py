@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,7 +79,7 @@ def linked_groups(links: DataFrame, scratch: Scratch | None = None) -> DataFrame
     """
     scratch = scratch or Scratch(links.sparkSession)
     edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars0")
-    n, before = 0, None
+    n, before = 0, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -85,23 +87,22 @@ def linked_groups(links: DataFrame, scratch: Scratch | None = None) -> DataFrame
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         n += 1
-        edges = scratch.keep(small, f"stars{n}")
-        scratch.drop(f"stars{n - 1}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if now == before:
+        last, edges = edges, scratch.keep(small, f"stars{n}")
+        now = edges.count()
+        if now == before and edges.join(last, ["a", "b"], "left_anti").isEmpty():  # distinct links, as many, and none of them new
             break
+        scratch.drop(f"stars{n - 1}")
         before = now
     roots = edges.select(F.col("b").alias("item")).distinct()
     return edges.select(F.col("a").alias("item"), F.col("b").alias("group")).unionByName(roots.select("item", F.col("item").alias("group")))
 
 
-def threshold_sweep(pairs: DataFrame, thresholds: list[float], scratch: Scratch | None = None) -> DataFrame:
-    """For each threshold: ``pairs`` at or above it, ``groups`` linked by them, ``grouped`` items and ``absorbed`` ones.
+def sweep_groups(pairs: DataFrame, thresholds: list[float], scratch: Scratch) -> Iterator[tuple[float, int, DataFrame | None]]:
+    """From the highest threshold down: the threshold, the pairs at or above it, and the groups they link (``item``, ``group``; None if no pair is).
 
-    *pairs* has ``l``, ``r``, ``similarity``. Thresholds are taken from the highest down; each step links the groups
-    found so far instead of the items, so a pair is used once, at the first threshold it reaches.
+    *pairs* has ``l``, ``r``, ``similarity``. Each step links the groups found so far instead of the items, so a pair
+    is used once, at the first threshold it reaches.
     """
-    scratch = scratch or Scratch(pairs.sparkSession)
     spark = pairs.sparkSession
     steps = sorted({round(t, 6) for t in thresholds}, reverse=True)
     clean = pairs.where("l is not null and r is not null and l <> r and similarity is not null and not isnan(similarity)")
@@ -109,7 +110,7 @@ def threshold_sweep(pairs: DataFrame, thresholds: list[float], scratch: Scratch
     best = clean.groupBy(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).agg(F.max("similarity").alias("similarity")).withColumn("level", level).where(F.col("level") < len(steps))
     best = scratch.keep(best.select("a", "b", "level"), "levels")
     counted = {r.level: r["n"] for r in best.groupBy("level").agg(F.count("*").alias("n")).collect()}  # a row for each threshold
-    found, total, out = None, 0, []
+    found, total = None, 0
     for k, threshold in enumerate(steps):
         total += counted.get(k, 0)
         new = best.where(F.col("level") == k).select("a", "b")
@@ -123,11 +124,31 @@ def threshold_sweep(pairs: DataFrame, thresholds: list[float], scratch: Scratch
                 renamed = known.join(merged.select(F.col("item").alias("g"), F.col("group").alias("h")), "g", "left").select("item", F.coalesce("h", "g").alias("group"))
                 fresh = merged.join(found.select("item"), "item", "left_anti").select("item", "group")
                 found = scratch.keep(renamed.unionByName(fresh), f"groups{k}")
+        yield threshold, total, found
+
+
+def threshold_sweep(pairs: DataFrame, thresholds: list[float], scratch: Scratch | None = None) -> DataFrame:
+    """For each threshold: ``pairs`` at or above it, ``groups`` linked by them, ``grouped`` items and ``absorbed`` ones."""
+    spark, out = pairs.sparkSession, []
+    for threshold, total, found in sweep_groups(pairs, thresholds, scratch or Scratch(spark)):
         items, groups = found.agg(F.count("*"), F.count_distinct("group")).first() if found is not None else (0, 0)
         out.append((threshold, total, groups, items, items - groups))
     return spark.createDataFrame(out, "threshold double, pairs long, groups long, grouped long, absorbed long")
 
 
+def sweep_by(pairs: DataFrame, thresholds: list[float], items: DataFrame, key: str, category: str, scratch: Scratch | None = None) -> DataFrame:
+    """For each threshold and *category* of the items: ``grouped`` items, ``groups`` and ``absorbed`` items."""
+    every: DataFrame | None = None
+    for threshold, _, found in sweep_groups(pairs, thresholds, scratch or Scratch(pairs.sparkSession)):
+        if found is not None:
+            joined = found.join(items, found["item"] == items[key]).select(F.lit(threshold).alias("threshold"), category, "group")
+            every = joined if every is None else every.unionByName(joined)
+    if every is None:
+        return items.select(F.lit(0.0).alias("threshold"), category).limit(0).groupBy("threshold", category).agg(F.count("*").alias("grouped"), F.count("*").alias("groups"), F.count("*").alias("absorbed"))
+    counted = every.groupBy("threshold", category).agg(F.count("*").alias("grouped"), F.count_distinct("group").alias("groups"))
+    return counted.withColumn("absorbed", F.col("grouped") - F.col("groups"))
+
+
 def canonical_items(groups: DataFrame, items: DataFrame, key: str, rank: list) -> DataFrame:
     """``group``, ``canonical`` (the member that comes first by *rank*, expressions of which greater ones win) and ``members``."""
     joined = groups.join(items, groups["item"] == items[key])

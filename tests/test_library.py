@@ -8,10 +8,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fathomry.functions import text, values
-from fathomry.operators import features, ledger, packed, quantiles, resolve, similarity
+from fathomry.functions import cells, links, text, values
+from fathomry.operators import curation, features, ledger, packed, quantiles, resolve, similarity
 from fathomry.operators.running import running_total
-from fathomry.sources import readers, sinks
+from fathomry.sources import readers, services, sinks
 
 
 def one(spark, expression):
@@ -210,3 +210,58 @@ def test_decisions_and_ledgers(spark):
     first = features.first_rows(events, ["key"], "seq")
     assert sorted(r.seq for r in first.collect()) == [1, 3]
     assert {r.service: r.total for r in ledger.service_summary(spark.createDataFrame([(["b", "a", "a"],), (None,)], "s array<string>"), F.col("s"), {}).collect()} == {"a": 1, "b": 1, "unknown": 1}
+
+
+def test_links_and_cells(spark):
+    page = '<html><meta name="citation_pdf_url" content="/a.pdf"><meta name="other" content="/no.pdf"><link href="b.pdf"><a href="HTTPS://X.ORG/A.PDF">x</a><iframe src="https://y.org/c"><a href="javascript:void(0)"><a href="">'
+    assert links.links_of(page, "https://x.org/dir/page") == ["https://x.org/a.pdf", "https://x.org/dir/b.pdf", "https://y.org/c"]
+    assert links.links_of(None, None) == [] and links.links_of("<a href='http://[bad'>", "https://x.org") == []
+    assert one(spark, links.clean_url(F.lit(' "https:\\/\\/x.org/a?b&amp;c". '))) == "https://x.org/a?b&c"
+    assert one(spark, links.urls_in_text(F.lit("see https://x.org/a, (https://x.org/a) and http://y.org."))) == ["https://x.org/a", "http://y.org"]
+    assert one(spark, links.inferred_pdf(F.lit("10.48550/arxiv.2101.00001"), F.lit(None).cast("string"))) == "https://arxiv.org/pdf/2101.00001.pdf"
+    assert one(spark, cells.listed(F.lit('["a", null, "b"]'))) == ["a", "b"] and one(spark, cells.listed(F.lit("['a']"))) == ["['a']"]
+    assert one(spark, cells.listed(F.lit(" "))) == [] and one(spark, cells.listed(F.lit(None).cast("string"))) == []
+    assert one(spark, cells.compact(F.array(F.lit("abc"), F.lit("d"), F.lit("e")), 2, 2)) == ["ab", "d"]
+    assert one(spark, cells.page_numbers(F.array(F.lit("3"), F.lit("x"), F.lit("3"), F.lit("1")))) == [3, 1]
+    row = spark.createDataFrame([(("", "in"), "flat")], "a struct<b: string, c: string>, a_b string")
+    assert row.select(cells.at_path("", "a.b", {"a", "a_b"}).alias("x"), cells.at_path("", "a.c", {"a"}).alias("y"), cells.at_path("", "q.r", {"a"}).alias("z")).first() == ("flat", "in", None)
+
+
+def test_services(spark):
+    answers = spark.createDataFrame([
+        (1, json.dumps({"display_name": "T", "publication_year": 2001, "doi": "https://doi.org/10.1/A", "authorships": [{"author": {"display_name": "A B"}}, {"author": {}}], "abstract_inverted_index": {"b": [1], "a": [0, 2]}, "primary_location": {"pdf_url": "https://x/1.pdf", "source": {"display_name": "V"}}, "locations": [{"pdf_url": "https://x/1.pdf"}, {"pdf_url": None}]})),
+        (2, "not json"), (3, None), (4, "{}"),
+    ], "id int, answer string")
+    found = {r.id: r for r in services.from_works(answers, "answer", ["id"]).collect()}
+    assert (found[1].title, found[1].authors, found[1].year, found[1].doi, found[1].abstract, found[1].venue, found[1].candidate_pdf_urls) == ("T", ["A B"], 2001, "10.1/a", "a b a", "V", ["https://x/1.pdf"])
+    assert found[2].title is None and found[3].title is None and found[4].year is None
+    made = spark.createDataFrame([(1, json.dumps({"title": ["T"], "issued": {"date-parts": [[1999, 5]]}, "author": [{"given": "A", "family": "B"}, {}], "link": [{"URL": "https://x/a", "content-type": "application/pdf"}, {"URL": "https://x/b", "content-type": "text/html"}], "abstract": "<p>x</p>"}))], "id int, answer string")
+    r = services.from_registered(made, "answer", ["id"]).first()
+    assert (r.title, r.year, r.authors, r.candidate_pdf_urls, r.abstract) == ("T", 1999, ["A B"], ["https://x/a"], "x")
+    made = spark.createDataFrame([(1, json.dumps({"title": "T.", "pubYear": "2003", "authorString": "B A, D C.", "fullTextUrlList": {"fullTextUrl": [{"url": "https://x/a", "documentStyle": "pdf"}, {"url": "https://x/h", "documentStyle": "html"}]}}))], "id int, answer string")
+    r = services.from_results(made, "answer", ["id"]).first()
+    assert (r.title, r.year, r.authors, r.candidate_pdf_urls, r.landing_page_url) == ("T", 2003, ["B A", "D C"], ["https://x/a"], "https://x/h")
+    made = spark.createDataFrame([(1, json.dumps({"title": "T", "externalIds": {"DOI": "10.1/X", "ArXiv": "2101.00001"}, "openAccessPdf": {"url": "https://arxiv.org/pdf/2101.00001.PDF"}, "authors": [{"name": "A"}]}))], "id int, answer string")
+    r = services.from_papers(made, "answer", ["id"]).first()
+    assert (r.doi, r.candidate_pdf_urls, r.authors) == ("10.1/x", ["https://arxiv.org/pdf/2101.00001.PDF"], ["A"])
+
+
+def test_curation(spark):
+    known = spark.createDataFrame([("k1", "p", "doom", ["doom", "gloom"]), ("k2", "", "heart", ["heart"]), ("k3", "p", "none", ["none", ""])], "known string, category string, label string, aliases array<string>")
+    rows = spark.createDataFrame([(1, "p", "gloom", ["gloom"]), (2, "q", "doom", ["doom"]), (3, "q", "x", ["x", "heart"]), (4, "p", "", ["", "none"])], "row int, category string, name string, names array<string>")
+    assert {tuple(r) for r in curation.known_matches(known, rows).collect()} == {("k1", "alias", 1), ("k2", "alias", 3), ("k3", "alias", 4)}
+    rows = rows.unionByName(spark.createDataFrame([(5, "p", "doom", None)], rows.schema))
+    assert {tuple(r) for r in curation.known_matches(known, rows).where("known = 'k1'").collect()} == {("k1", "name", 5)}
+    assert curation.known_matches(known, rows.limit(0)).where("tier = 'none'").count() == 3
+    base = spark.createDataFrame([(1, "a"), (2, "a"), (250_000, "a"), (4, "b")], "pos long, base string")
+    assert {r.pos: r.unique_key for r in curation.retain_unseen(base, "base", "pos").collect()} == {1: "a", 2: "a_2", 250_000: "a_3", 4: "b"}
+    controls = curation.control_rows(spark.createDataFrame([(1, "n", ["a", "a", "n", None, "b", "c"]), (2, "m", ["a"]), (3, "", ["a", "b"]), (4, "o", None)], "row int, name string, syn array<string>"), "row", "name", "syn")
+    assert [(r.variant, r.text) for r in controls.orderBy("variant").collect()] == [(0, "n"), (1, "a"), (2, "b")]
+    assert curation.control_pairs(controls, "row").groupBy("kind").count().orderBy("kind").collect() == [("canonical_synonym", 2), ("synonym_synonym", 1)]
+
+
+def test_linked_groups_end(spark):
+    for n in (2, 50):
+        chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
+        assert {tuple(r) for r in similarity.linked_groups(chain).collect()} == {(i, 0) for i in range(n + 1)}
+    assert similarity.linked_groups(chain.limit(0)).count() == 0
