@@ -50,11 +50,11 @@ def p5_survivors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.repairs(table(spark, folder, "chunks")).select("chunk_id", "line_no", "kind", "word").distinct()
+    return scans.repairs(table(spark, folder, "chunks"), table(spark, folder, "papers"), table(spark, folder, "venues")).select("chunk_id", "line_no", "kind", "word").distinct()
 
 
 def p6_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.paragraphs(table(spark, folder, "chunks"))
+    return scans.paragraphs(table(spark, folder, "chunks"), table(spark, folder, "papers"), table(spark, folder, "venues"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..shared import Scratch, small_side
+from ..shared import BROADCAST_ROWS, Scratch, rows_if_small, small_side
 
 #: What scanners take for what, as they write it and as it was. Both directions are tried where given.
 MISREADINGS = (
@@ -27,15 +27,23 @@ RATIO = 20
 HANGING = ("and", "or", "to", "und", "oder", "bis", "et", "ou", "y", "o", "e", "en", "of", "och", "og", "nor", "than")
 
 ROMAN = r"(?=[ivxlcdm])m{0,3}(?:c[md]|d?c{0,3})(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3})"
-NUMBER = re.compile(r"^(?:(?P<bare>\d{1,4})|[-–—]\s*(?:\d{1,4}|" + ROMAN + r")\s*[-–—]|\[\d{1,4}\]|\(\d{1,4}\)|(?:p|pp|pg)\.\s*\d{1,4}|(?:page|seite)\s+\d{1,4}(?:\s*(?:of|/|von)\s*\d{1,4})?|" + ROMAN + ")$", re.I)
-NUMBERED = re.compile(r"^(?:\d{1,4}|" + ROMAN + r")\s{2,}(?P<a>\S.*)$|^(?P<b>.*\S)\s{2,}(?:\d{1,4}|" + ROMAN + r")$", re.I)
+NUMBER = re.compile(r"^(?:(\d{1,4})|[-–—]\s*(\d{1,4}|" + ROMAN + r")\s*[-–—]|\[(\d{1,4})\]|\((\d{1,4})\)|(?:p|pp|pg)\.\s*(\d{1,4})|(?:page|seite)\s+(\d{1,4})(?:\s*(?:of|/|von)\s*\d{1,4})?|(" + ROMAN + "))$", re.I)
+NUMBERED = re.compile(r"^(\d{1,4}|" + ROMAN + r")\s{2,}(\S.*)$|^(.*\S)\s{2,}(\d{1,4}|" + ROMAN + r")$", re.I)
 BODY_MARK = re.compile(r"^(?:(?:table|figure|fig\.?|tab\.?|plate|chart|box|appendix)\s*[\dIVX]+\b.*|\d+(?:\.\d+)*[.)]?\s[A-Z].*|[\d.,%\s]*\d[.,%]\d[\d.,%\s]*)$", re.I)
-NAMES = re.compile(r"^[^\W\d_][\w'’-]+(?:(?:,| and| &) [^\W\d_][\w'’-]+)*(?: et al\.?)?$")
 
 #: Words that stay small where others begin with a capital.
 SMALL = frozenset("a an and as at by et al for from in into of on or the to vol with".split())
 
-EDGE = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("key", T.StringType()), T.StructField("sure", T.BooleanType()), T.StructField("near", T.BooleanType()), T.StructField("names", T.BooleanType()), T.StructField("cased", T.BooleanType())]))
+EDGE = T.ArrayType(T.StructType([T.StructField("line_no", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("key", T.StringType()), T.StructField("number", T.IntegerType()), T.StructField("inside", T.BooleanType()), T.StructField("titled", T.BooleanType()), T.StructField("near", T.BooleanType())]))
+_ROMAN_DIGITS = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+
+
+def number_of(text: str) -> int:
+    """The value of an Arabic or Roman number."""
+    if text.isdigit():
+        return int(text)
+    values = [_ROMAN_DIGITS[c] for c in text.lower()]
+    return sum(-v if v < max(values[i:]) else v for i, v in enumerate(values))
 
 
 def letters(text: str) -> str:
@@ -63,41 +71,47 @@ def alike(a: str, b: str) -> bool:
 
 
 def edge_lines(text: str | None, title: str | None, pages) -> list[dict]:
-    """The lines of a chunk that may stand at the edge of a page.
-
-    sure: a page number, or the running title at an edge. near: beside a page number, with one on the line, or first or
-    last of the chunk. cased: in capitals or with words that begin with one. names: written as authors are. key: what the line is compared by.
+    """The lines of a chunk that may be page numbers or stand at the edge of a page.
+
+    number: the number that a line is and that may be a page's; inside: whether it is one of the chunk's pages (or a Roman
+    one of the next). Roman numbers may be any, as they often count from another page; if pages aren't known, all may. A line of words is inside if one of the chunk's pages stands on it. titled: a line with the running title.
+    near: beside a number, or with a page's number on it. key: what a line is compared by. at: its place among
+    the lines that aren't blank.
+    Other lines count only if they are first or last of the chunk or near, begin with a capital, don't end as a sentence, and are written in capitals
+    or with most words beginning with one.
     """
     lines = (text or "").split("\n")
-    filled = [i for i, x in enumerate(lines) if x.strip()]
+    filled = [(i, x.strip()) for i, x in enumerate(lines) if not x.isspace() and x]
     head = letters(re.split(r":|\s[-–—]\s", title or "")[0])
     whole = letters(title or "")
-    low, high = (min(pages) - 1, max(pages) + 1) if pages is not None and len(pages) else (None, None)
-
-    def is_number(s: str) -> bool:
-        m = NUMBER.match(s)
-        return bool(m) and (m["bare"] is None or low is None or low <= int(m["bare"]) <= high + 1)
-
-    numbers = {i for i in filled if is_number(lines[i].strip())}
-    found = []
-    for k, i in enumerate(filled):
-        s = lines[i].strip()
+    short = {i: (number_of(g), not g.isdigit()) for i, s in filled if len(s) <= 24 and (m := NUMBER.match(s)) for g in m.groups() if g}
+    known = pages is not None and len(pages) > 0
+    low, high = (min(pages), max(pages)) if known else (0, 9_999)
+    inside = {i: known and low <= n <= high + roman for i, (n, roman) in short.items()}
+    numbers = {i: n for i, (n, roman) in short.items() if inside[i] or roman or not known}
+    place = {i: k for k, (i, _) in enumerate(filled)}
+    found = [{"line_no": i + 1, "at": place[i], "key": "", "number": n, "inside": inside[i], "titled": False, "near": True} for i, n in numbers.items()]
+    last = len(filled) - 1
+    for k, (i, s) in enumerate(filled):
         if i in numbers:
-            found.append({"line_no": i + 1, "key": "", "sure": True, "near": True, "names": False, "cased": False})
             continue
-        m = NUMBERED.match(s)
-        rest = (m["a"] or m["b"]).strip() if m else s
-        beside = any(0 <= j < len(filled) and filled[j] in numbers for j in (k - 1, k + 1))
-        at_edge = k == 0 or k == len(filled) - 1
-        if len(s) > 150 or (BODY_MARK.match(s) and not m) or not (m or beside or at_edge or alike(letters(rest), head)):
+        m = NUMBERED.match(s) if "  " in s else None
+        if m and not low <= number_of(m[1] or m[4]) <= high:
+            m = None
+        rest = (m[2] or m[3]).strip() if m else s
+        if not (m or rest[0].isupper() or rest[0].isdigit()) or (rest[-1] in ".?!,;:" and not rest.endswith("al.")):
+            continue
+        beside = (k > 0 and filled[k - 1][0] in numbers) or (k < last and filled[k + 1][0] in numbers)
+        if not m and BODY_MARK.match(s):
             continue
         key = letters(rest)
-        if not key or (rest[-1] in ".?!,;:" and not rest.endswith("al.")) or not (rest[0].isupper() or m):
+        if not key:
             continue
         titled = alike(key, head) or alike(key, whole)
         words = [w for w in re.findall(r"[^\W\d_]{2,}", rest) if w not in SMALL]
         cased = bool(words) and (rest.isupper() or sum(w[0].isupper() for w in words) >= 0.8 * len(words))
-        found.append({"line_no": i + 1, "key": key, "sure": titled, "near": bool(m or beside), "names": cased and bool(NAMES.match(rest)), "cased": cased})
+        if titled or (cased and (m or beside or k in (0, last))):
+            found.append({"line_no": i + 1, "at": k, "key": key, "number": None, "inside": bool(m and known), "titled": titled, "near": bool(m or beside)})
     return found
 
 
@@ -106,37 +120,81 @@ def edges_of(texts: pd.Series, titles: pd.Series, pages: pd.Series) -> pd.Series
     return pd.Series([edge_lines(t, h, p) for t, h, p in zip(texts, titles, pages, strict=True)])
 
 
-def running_lines(chunks: DataFrame, scratch: Scratch) -> DataFrame:
+def anchors(key: Column) -> Column:
+    """Four stretches of ten letters: the first two and the last two of a key. Keys alike but for a misreading or two share one."""
+    n = F.length(key)
+    made = [F.concat(F.lit("a"), F.left(key, F.lit(10))), F.concat(F.lit("z"), F.right(key, F.lit(10)))]
+    inner = [F.concat(F.lit("b"), F.substring(key, 11, 10)), F.concat(F.lit("y"), F.substr(key, n - 19, F.lit(10)))]
+    return F.when(n >= 40, F.array(*made, *inner)).otherwise(F.array(*made))
+
+
+#: Papers in which a line must repeat to count as running in every paper, as the name of a venue does.
+PAPERS = 3
+
+
+def running_names(papers: DataFrame, venues: DataFrame | None) -> DataFrame:
+    """``paper_id`` and ``name``: the letters of what a running line of the paper may begin with, the first author's surname and the venue."""
+    first = F.get("authors", F.lit(0))
+    last = F.when(F.contains(first, F.lit(",")), F.split_part(first, F.lit(","), F.lit(1))).otherwise(F.element_at(F.split(F.trim(first), r"\s+"), -1))
+    named = papers.select("paper_id", last.alias("name"))
+    if venues is not None:
+        named = named.unionByName(papers.select("paper_id", "venue_id").join(small_side(venues.select("venue_id", F.col("venue_name").alias("name"))), "venue_id").select("paper_id", "name"))
+    return named.select("paper_id", F.regexp_replace(F.lower("name"), r"[^\p{L}]", "").alias("name")).where(F.length("name") >= 3).distinct()
+
+
+def running_lines(chunks: DataFrame, scratch: Scratch, papers: DataFrame | None = None, venues: DataFrame | None = None) -> DataFrame:
     """``chunk_id`` and ``drop`` (the numbers of its lines that are headers, footers or page numbers).
 
-    A line at a page's edge is one if it is a page number of the chunk's pages, repeats the running title but for
-    misread letters, or is written with capitals and either stands beside a page number or repeats at other edges:
-    often in its paper as authors' names, or in several papers as a venue. Lines repeat if the first or the last ten
-    letters are the same, which a few misreadings leave. Table captions, numbered headings and figures with decimals
-    never count.
+    Page numbers are lines with a number of the chunk's pages, or one in sequence with another of the paper, or one beside
+    a running line. Other lines at a page's edge are running lines if they repeat: the running title, which the chunk's title repeats; the authors'
+    names and the venue, which *papers* (``paper_id``, ``authors``, ``venue_id``) and *venues* repeat; a line beside a page number that the paper has once
+    more; or a line that repeats within each of PAPERS papers, wherever it stands then. So does a line with a
+    page number on it. Lines repeat if a stretch of ten letters at the same place is equal (see anchors), which some misreadings
+    leave; names may differ by two letters. A heading is no running line, as no paper repeats it, and table captions,
+    numbered headings and figures with decimals never count.
     """
     found = chunks.select("chunk_id", "paper_id", F.explode(edges_of("text", "title", "pages")).alias("e")).select("chunk_id", "paper_id", "e.*")
-    found = found.withColumn("head", F.left("key", F.lit(10))).withColumn("tail", F.right("key", F.lit(10)))
-    found = scratch.keep(found, "edges")  # few rows; read by each of the counts below
-    open_ = found.where(~F.col("sure"))
-    counts = [
-        open_.where(F.length(side) > 3).groupBy(F.col("paper_id").alias(f"_p{side}"), F.col(side).alias(f"_{side}")).agg(F.count("*").alias(f"n_{side}"))
-        for side in ("head", "tail")
-    ]
-    wide = [open_.where("near").where(F.length(side) == 10).groupBy(F.col(side).alias(f"_w{side}")).agg(F.count_distinct("paper_id").alias(f"m_{side}")) for side in ("head", "tail")]
-    scored = open_
-    for side, c, w in zip(("head", "tail"), counts, wide, strict=True):
-        scored = scored.join(c, (F.col("paper_id") == F.col(f"_p{side}")) & (F.col(side) == F.col(f"_{side}")), "left").join(w, F.col(side) == F.col(f"_w{side}"), "left")
-    n = F.greatest(F.coalesce("n_head", F.lit(0)), F.coalesce("n_tail", F.lit(0)))
-    m = F.least(F.coalesce("m_head", F.lit(0)), F.coalesce("m_tail", F.lit(0)))
-    kept = scored.where("cased").where(F.col("near") | ((n >= 2) & (m >= 3)) | (m >= 5) | ((n >= 2) & F.col("names")))
-    sure = found.where("sure").select("chunk_id", "line_no").unionByName(kept.select("chunk_id", "line_no"))
+    found = scratch.keep(found, "edges")  # few rows
+    open_ = found.where("number is null and not titled")
+    signed = None
+    if papers is not None:
+        begins = F.left("key", F.length("name"))
+        signed = open_.join(running_names(papers, venues), "paper_id").where(F.levenshtein(begins, F.col("name")) <= F.when(F.length("name") < 6, 1).otherwise(2)).select("chunk_id", "line_no", "at")
+    anchored = open_.withColumn("anchor", F.explode(anchors(F.col("key"))))
+    times = anchored.where(F.length("key") > 3).groupBy("paper_id", "anchor").agg(F.count("*").alias("n"))
+    times = scratch.keep(times, "times")
+    wide = times.where("n >= 2").groupBy("anchor").agg(F.count("*").alias("papers"))
+    scored = anchored.join(times, ["paper_id", "anchor"], "left").join(wide, "anchor", "left")
+    kept = scored.where(F.expr(f"(near and n >= 2) or papers >= {PAPERS}")).select("chunk_id", "line_no", "at")
+    numbers = found.where("number is not null")
+    beside = numbers.select("paper_id", F.explode(F.array(F.col("number") - 1, F.col("number") + 1)).alias("number")).distinct()
+    in_sequence = numbers.where("not inside").join(beside, ["paper_id", "number"], "left_semi").select("chunk_id", "line_no", "at")
+    running = found.where("inside or titled").select("chunk_id", "line_no", "at").unionByName(kept)
+    if signed is not None:
+        running = running.unionByName(signed)
+    running = scratch.keep(running, "running")
+    next_to = running.select("chunk_id", F.explode(F.array(F.col("at") - 1, F.col("at") + 1)).alias("at")).distinct()
+    beside_running = numbers.where("not inside").join(next_to, ["chunk_id", "at"], "left_semi").select("chunk_id", "line_no", "at")
+    sure = running.unionByName(in_sequence).unionByName(beside_running)
     return sure.groupBy("chunk_id").agg(F.collect_set("line_no").alias("drop"))
 
 
 WORD = r"[\p{L}\p{M}\p{N}|!$@€]*[\p{L}\p{M}](?:[\p{L}\p{M}\p{N}|$@€]|(?<=[\p{L}\p{N}])['’\-‐](?=[\p{L}\p{N}])|!(?=\p{L}))*"
 
 
+def token_counts(lines: DataFrame) -> DataFrame:
+    """What stands between blanks in the whole lines (``token``), how often (``n``), and the words in it (``words``).
+
+    Words hold no white space, so they are looked for in each distinct token once."""
+    counted = whole_lines(lines).select(F.explode(F.split("line", " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return counted.withColumn("words", F.regexp_extract_all("token", F.lit(f"({WORD})"), F.lit(1))).where(F.size("words") > 0)
+
+
+def whole_lines(lines: DataFrame) -> DataFrame:
+    """The lines that neither begin nor end within a word."""
+    return lines.where("not broken and not continues")
+
+
 def body_words(lines: DataFrame) -> DataFrame:
     """``chunk_id``, ``line_no``, ``word`` of the words within the body lines (with line, first and last broken or not)."""
     words = F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(1))
@@ -178,17 +236,45 @@ def readings_of(words: pd.Series) -> pd.Series:
     return words.map(readings)
 
 
+def right_words(counts: DataFrame, scratch: Scratch, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``w`` and ``right``: the misread words of a vocabulary (``w``, ``n``) and the most frequent word that each may be.
+
+    Only words of at least RATIO occurrences can be right, and only words RATIO times rarer than the most frequent one
+    can be wrong. If the former are checked to be at most *broadcast_rows*, every task has them and keeps only readings
+    among them; else the readings are joined to them.
+    """
+    often = counts.where(F.col("n") >= RATIO)
+    most = counts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    suspects = counts.where(F.col("n") * RATIO <= most)
+    if (held := rows_if_small(often.select("w", "n"), broadcast_rows)) is not None:
+        shared = counts.sparkSession.sparkContext.broadcast({r.w: r.n for r in held})
+
+        @F.pandas_udf(T.StringType())
+        def best_of(words: pd.Series, times: pd.Series) -> pd.Series:
+            known = shared.value
+            made = []
+            for w, n in zip(words, times, strict=True):
+                able = [(known[r], r) for r in readings(w) if r in known and known[r] >= RATIO * n]
+                made.append(max(able)[1] if able else None)
+            return pd.Series(made, dtype=object)
+
+        return suspects.select("w", best_of("w", "n").alias("right")).where("right is not null")
+    read = suspects.select("w", "n", F.explode(readings_of("w")).alias("r"))
+    better = read.join(often.select(F.col("w").alias("r"), F.col("n").alias("n_r")), "r").where(F.col("n_r") >= RATIO * F.col("n"))
+    return better.groupBy("w").agg(F.max_by("r", F.struct("n_r", "r")).alias("right"))
+
+
 def recased(model: Column, word: Column) -> Column:
     """*word* in the case of *model*: all upper, first letter upper, or as it is."""
     bare = F.regexp_replace(model, r"[^\p{L}]", "")
     return F.when((F.length(bare) > 1) & (bare == F.upper(bare)), F.upper(word)).when(F.left(bare, F.lit(1)) != F.lower(F.left(bare, F.lit(1))), F.concat(F.upper(F.left(word, F.lit(1))), F.substr(word, F.lit(2)))).otherwise(word)
 
 
-def numbered_lines(chunks: DataFrame, scratch: Scratch) -> DataFrame:
+def numbered_lines(chunks: DataFrame, scratch: Scratch, papers: DataFrame | None = None, venues: DataFrame | None = None) -> DataFrame:
     """The lines of each chunk: ``chunk_id``, ``line_no``, ``line``, ``dropped``, and for body lines whether the last word
     is ``broken`` and how it goes on (``part``, ``rest``), and whether the line ``continues`` a broken word."""
-    drops = running_lines(chunks, scratch)
-    marked = chunks.join(drops, "chunk_id", "left").select("chunk_id", F.split("text", "\n").alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
+    drops = running_lines(chunks, scratch, papers, venues)
+    marked = chunks.join(small_side(scratch.keep(drops, "drops")), "chunk_id", "left").select("chunk_id", F.split("text", "\n").alias("lines"), F.coalesce("drop", F.array().cast("array<int>")).alias("drop"))
     numbered = F.transform("lines", lambda x, i: F.struct((i + 1).cast("int").alias("line_no"), x.alias("line"), F.array_contains("drop", (i + 1).cast("int")).alias("dropped")))
     is_body = lambda x: ~x["dropped"] & (F.trim(x["line"]) != "")
     nested = marked.select("chunk_id", numbered.alias("n")).select("chunk_id", F.filter("n", is_body).alias("body"), F.filter("n", lambda x: x["dropped"]).alias("gone"))
@@ -208,14 +294,14 @@ def numbered_lines(chunks: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(body.unionByName(gone), "lines")
 
 
-def repairs(chunks: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def repairs(chunks: DataFrame, papers: DataFrame | None = None, venues: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """What has to be repaired in each chunk: ``chunk_id``, ``line_no``, ``kind``, ``word``, ``seen``.
 
     kind ``drop``: the line is a running header, footer or page number. ``join``: its last word goes on in the next
     body line; word is the whole. ``char``: it holds the misread word *seen*; word is the right one.
 
-    Method: headers and footers are found by fuzzy repetition at page edges (see running_lines) and page numbers by
-    their sequence in the chunk's pages. Body lines are joined by the vocabulary of the whole corpus: of the closed
+    Method: headers and footers are found by fuzzy repetition at page edges (see running_lines; *papers* and *venues*
+    tell names) and page numbers by their sequence in the chunk's pages. Body lines are joined by the vocabulary of the whole corpus: of the closed
     and the hyphenated spelling the more frequent one holds; a hanging hyphen joins nothing. Only if neither spelling
     occurs unbroken, the closed one is taken. A misread word is one that scanners' confusions turn into a word at least
     RATIO times as frequent. Counts are taken over all chunks and shuffled as counts; the texts are shuffled once.
@@ -223,16 +309,18 @@ def repairs(chunks: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     Null and empty texts have no lines to repair. Repeats of a chunk (same id and text) count once. Extra columns are
     ignored. Lines are split at each newline and counted from 1.
     """
-    return _lines_and_cases(chunks, scratch or Scratch(chunks.sparkSession))[1]
+    return _lines_and_cases(chunks, scratch or Scratch(chunks.sparkSession), papers, venues)[1]
 
 
-def _lines_and_cases(chunks: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def _lines_and_cases(chunks: DataFrame, scratch: Scratch, papers: DataFrame | None = None, venues: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The lines of numbered_lines, and the cases of repairs."""
-    once = chunks.where("text is not null").select("chunk_id", "paper_id", "title", "pages", "text").dropDuplicates(["chunk_id"])
-    lines = numbered_lines(once, scratch)
+    once = scratch.keep(chunks.where("text is not null").select("chunk_id", "paper_id", "title", "pages", "text").dropDuplicates(["chunk_id"]), "once")
+    lines = numbered_lines(once, scratch, papers, venues)
     body = lines.where("not dropped")
-    words = body_words(body)
-    counts = scratch.keep(words.groupBy(plain(F.col("word")).alias("w")).agg(F.count("*").alias("n")), "vocabulary")
+    words = body_words(body.where("broken or continues"))
+    tokens = scratch.keep(token_counts(body), "tokens")
+    seen = tokens.select(F.explode("words").alias("word"), "n").unionByName(words.select("word", F.lit(1).cast("long").alias("n")))
+    counts = scratch.keep(seen.groupBy(plain(F.col("word")).alias("w")).agg(F.sum("n").alias("n")), "vocabulary")
 
     broken = body.where("broken").where(F.col("part") != "").where(F.col("rest") != "")
     forms = broken.select(plain(F.col("part")).alias("a"), plain(F.col("rest")).alias("b")).distinct()
@@ -255,15 +343,14 @@ def _lines_and_cases(chunks: DataFrame, scratch: Scratch) -> tuple[DataFrame, Da
         .select("chunk_id", "line_no", F.lit("join").alias("kind"), F.concat("part", F.when(F.col("hyphen"), "-").otherwise(""), "rest").alias("word"), F.concat("part", F.lit("-"), "rest").alias("seen"))
     )
 
-    suspects = counts.select("w", "n", F.explode(readings_of("w")).alias("r"))
-    better = suspects.join(counts.select(F.col("w").alias("r"), F.col("n").alias("n_r")), "r").where(F.col("n_r") >= RATIO * F.col("n"))
-    fixes = better.groupBy("w").agg(F.max_by("r", F.struct("n_r", "r")).alias("right"))
-    fixes = scratch.keep(fixes, "fixes")
-    fixed = (
-        words.withColumn("w", plain(F.col("word"))).join(small_side(fixes), "w")
-        .select("chunk_id", "line_no", F.lit("char").alias("kind"), recased(F.col("word"), F.col("right")).alias("word"), F.col("word").alias("seen"))
-    )
-    whole = joined.withColumn("w", plain(F.col("word"))).join(small_side(fixes), "w", "left").withColumn("word", F.when(F.col("right").isNotNull(), recased(F.col("word"), F.col("right"))).otherwise(F.col("word"))).drop("w", "right")
+    fixes = scratch.keep(right_words(counts, scratch), "fixes")
+    fixes = small_side(fixes)
+    mark = lambda rows: rows.select("chunk_id", "line_no", F.lit("char").alias("kind"), recased(F.col("word"), F.col("right")).alias("word"), F.col("word").alias("seen"))
+    wrong = tokens.select("token", F.explode("words").alias("word")).withColumn("w", plain(F.col("word"))).join(fixes, "w").select("token", "word", "right")
+    wrong = small_side(scratch.keep(wrong, "wrong"))
+    in_lines = whole_lines(body).select("chunk_id", "line_no", F.explode(F.split("line", " ")).alias("token")).join(wrong, "token")
+    fixed = mark(in_lines).unionByName(mark(words.withColumn("w", plain(F.col("word"))).join(fixes, "w")))
+    whole = joined.withColumn("w", plain(F.col("word"))).join(fixes, "w", "left").withColumn("word", F.when(F.col("right").isNotNull(), recased(F.col("word"), F.col("right"))).otherwise(F.col("word"))).drop("w", "right")
     gone = lines.where("dropped").select("chunk_id", "line_no", F.lit("drop").alias("kind"), F.lit("").alias("word"), F.col("line").alias("seen"))
     return lines, gone.unionByName(whole).unionByName(fixed)
 
@@ -282,7 +369,7 @@ def _repaired_line() -> tuple[Column, Column]:
     return text, F.when(goes_on & (n == 1), more).otherwise(behind)
 
 
-def paragraphs(chunks: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def paragraphs(chunks: DataFrame, papers: DataFrame | None = None, venues: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """The repaired text of each chunk: ``chunk_id``, ``paragraph`` (counted from 1) and ``text``, which is one line.
 
     The cases of :func:`repairs` are joined back to the lines: running lines are left out, the word broken at a line's end
@@ -293,7 +380,7 @@ def paragraphs(chunks: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     are gathered within a chunk only.
     """
     scratch = scratch or Scratch(chunks.sparkSession)
-    lines, cases = _lines_and_cases(chunks, scratch)
+    lines, cases = _lines_and_cases(chunks, scratch, papers, venues)
     is_char = F.col("kind") == "char"
     mended = cases.where("kind <> 'drop'").groupBy("chunk_id", "line_no").agg(
         F.map_from_entries(F.collect_set(F.when(is_char, F.struct("seen", "word")))).alias("fixes"), F.max(F.when(F.col("kind") == "join", F.col("word"))).alias("joined"),
