@@ -26,8 +26,9 @@ NOTATIONS = {
     "sv": "swe swedish svenska",
     "da": "dan danish dansk",
 }
-#: Labelled sentences that the classifiers are fitted on, at most, of each language; and documents they are drawn from.
-SAMPLE_SENTENCES, SAMPLE_DOCUMENTS = 400, 4_000
+#: The bounds of the labelled sample that the classifiers are fitted on: sentences of each language, documents they are drawn
+#: from, sentences and characters that are read of each of those, and rows of the labelled samples.
+SAMPLE_SENTENCES, SAMPLE_DOCUMENTS, SENTENCES_READ, CHARACTERS_READ, SAMPLE_ROWS = 400, 4_000, 20, 20_000, 4_000
 #: Size of the feature table (n-grams are hashed) and the longest n-gram.
 BITS, LONGEST = 16, 4
 #: Bits of a codeword; the mean loss by which the nearest codeword must lead and the confidence it must have, else the decoding is ambiguous.
@@ -47,13 +48,16 @@ def sentences(text: str | None) -> list[str]:
     One ends at a full stop or the like that stands at a word or a closing mark, if no small letter follows (any may if
     the text has no capitals) and no bracket or quotation is open; and at a blank line.
     """
-    text = (text or "").replace("\r\n", "\n")
+    text = text or ""
+    if "\r" in text:
+        text = text.replace("\r\n", "\n")
     capitals = text != text.lower()
+    pairs = [(a, b) for a, b in _PAIRS if a in text]
     found, start = [], 0
     for m in _END.finditer(text):
         blank_line = m["next"] is None and m["after"] is None
         follows = m["next"] or m["after"] or ""
-        if not blank_line and ((capitals and follows.islower()) or any(text.count(a, start, m.end()) > text.count(b, start, m.end()) for a, b in _PAIRS) and m.end() - start < 600):
+        if not blank_line and ((capitals and follows.islower()) or any(text.count(a, start, m.end()) > text.count(b, start, m.end()) for a, b in pairs) and m.end() - start < 600):
             continue
         found.append(text[start : m.end()])
         start = m.end()
@@ -64,9 +68,13 @@ def sentences(text: str | None) -> list[str]:
 def letters_of(sentence: str) -> str:
     """The words of a sentence in lower case between single blanks, without what stands in brackets or quotation marks
     if three words are left without it."""
-    sentence = _ADDRESS.sub(" ", unicodedata.normalize("NFC", sentence))
-    bare = _NOT_LETTERS.sub(" ", _ASIDE.sub(" ", sentence)).strip()
-    if bare.count(" ") < 2:
+    if not sentence.isascii():
+        sentence = unicodedata.normalize("NFC", sentence)
+    if "://" in sentence or "www." in sentence:
+        sentence = _ADDRESS.sub(" ", sentence)
+    shorter = _ASIDE.sub(" ", sentence)
+    bare = _NOT_LETTERS.sub(" ", shorter).strip()
+    if bare.count(" ") < 2 and shorter != sentence:
         bare = _NOT_LETTERS.sub(" ", sentence).strip()
     return f" {bare.lower()} "
 
@@ -75,26 +83,42 @@ def without_accents(text: str) -> str:
     return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)))
 
 
-def features(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed n-grams of lines: rows of the feature table, the line of each, and the n-grams of each line."""
-    codes = np.frombuffer("\n".join(lines).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    line = np.cumsum(codes == 10)
-    line -= codes == 10
-    rows, owner = [], []
-    hashed = np.zeros(len(codes), dtype=np.uint64)
-    crossing = np.zeros(len(codes), dtype=bool)
+def ngrams(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The hashed n-grams of lines, a row of the feature table for each, and the line of each in order. One array for each n.
+
+    N-grams across two lines get the row behind the table's last.
+    """
+    codes = np.frombuffer("\n".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    ends = codes == 10
+    line = np.cumsum(ends)
+    hashed, crossing = np.zeros(len(codes), dtype=np.uint64), np.zeros(len(codes), dtype=bool)
     for n in range(1, LONGEST + 1):
         m = len(codes) - n + 1
         if m <= 0:
-            break
+            return
         hashed = (hashed[:m] * np.uint64(1_000_003) + codes[n - 1 :] + np.uint64(n)) & np.uint64(0xFFFFFFFFFFFF)
-        crossing = crossing[:m] | (codes[n - 1 :] == 10)
-        keep = ~crossing
-        mixed = (hashed[keep] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)
-        rows.append(mixed.astype(np.int64))
-        owner.append(line[:m][keep])
-    rows, owner = np.concatenate(rows), np.concatenate(owner)
-    return rows, owner, np.bincount(owner, minlength=len(lines))
+        crossing = crossing[:m] | ends[n - 1 :]
+        rows = ((hashed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)).astype(np.int32)
+        rows[crossing] = 1 << BITS
+        yield rows, line[:m]
+
+
+def ngram_counts(lines: list[str]) -> np.ndarray:
+    """How many n-grams each line has."""
+    sizes = np.array([len(x) for x in lines])
+    return sum(np.maximum(sizes - n + 1, 0) for n in range(1, LONGEST + 1))
+
+
+def blocks_of(lines: list[str], most: int = 10_000) -> Iterator[tuple[int, int]]:
+    """Stretches of lines with at most so many characters, which the caches hold, or of one line."""
+    begin = size = 0
+    for i, x in enumerate(lines):
+        if size and size + len(x) > most:
+            yield begin, i
+            begin, size = i, 0
+        size += len(x) + 1
+    if begin < len(lines):
+        yield begin, len(lines)
 
 
 def codewords(n: int, bits: int = CODE_BITS, seed: int = 7) -> np.ndarray:
@@ -120,18 +144,15 @@ class Model:
 
     def losses(self, lines: list[str]) -> np.ndarray:
         """For each line and language the mean logistic loss of the classifiers against the codeword."""
-        rows, owner, n = features(lines)
         sums = np.zeros((len(lines), self.code.shape[1]), dtype=np.float64)
-        order = np.argsort(owner, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-        held = n > 0
-        for lo in range(0, len(lines), 2000):  # bounded memory for very long texts
-            part = slice(lo, lo + 2000)
-            if held[part].any():
-                take = order[starts[part][0] : starts[part][-1] + n[part][-1]]
-                at = (starts[part] - starts[part][0])[held[part]]
-                sums[part][held[part]] = np.add.reduceat(self.weights[rows[take]], at, axis=0)
-        margins = sums / np.sqrt(np.maximum(n, 1))[:, None]
+        weights = np.concatenate([self.weights, np.zeros((1, self.code.shape[1]), dtype=np.float32)])
+        for begin, end in blocks_of(lines):
+            for rows, line in ngrams(lines[begin:end]):
+                for lo in range(0, len(rows), 1 << 18):  # bounded memory for very long lines
+                    own = line[lo : lo + (1 << 18)]
+                    starts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1])
+                    sums[begin + own[starts]] += np.add.reduceat(weights.take(rows[lo : lo + (1 << 18)], axis=0), starts, axis=0)
+        margins = sums / np.sqrt(np.maximum(ngram_counts(lines), 1))[:, None]
         return np.logaddexp(0, -margins[:, None, :] * self.code[None]).mean(axis=2)
 
 
@@ -139,11 +160,10 @@ def fit(lines: list[str], labels: list[str], languages: list[str], epochs: int =
     """Fit the classifiers on labelled lines by stochastic gradient descent on the logistic loss."""
     code = codewords(len(languages))
     weights = np.zeros((1 << BITS, code.shape[1]), dtype=np.float32)
-    rows, owner, n = features(lines)
-    order, starts = np.argsort(owner, kind="stable"), np.concatenate([[0], np.cumsum(n)])
-    rows = rows[order]
-    own = [np.unique(rows[starts[i] : starts[i + 1]], return_counts=True) for i in range(len(lines))]
-    own = [(u, (k / np.sqrt(max(1, m))).astype(np.float32)) for (u, k), m in zip(own, n, strict=True)]
+    own = []
+    for line, m in zip(lines, ngram_counts(lines), strict=True):
+        u, k = np.unique(np.concatenate([rows for rows, _ in ngrams([line])] or [np.zeros(0, np.int32)]), return_counts=True)
+        own.append((u, (k / np.sqrt(max(1, m))).astype(np.float32)))
     target = code[[languages.index(x) for x in labels]].astype(np.float32)
     rng = np.random.default_rng(seed)
     for epoch in range(epochs):
@@ -184,21 +204,28 @@ def sentences_of(texts: pd.Series) -> pd.Series:
     return texts.map(sentences)
 
 
-def train(samples: DataFrame, documents: DataFrame, documents_used: int = SAMPLE_DOCUMENTS, sentences_used: int = SAMPLE_SENTENCES) -> Model:
+def train(samples: DataFrame, documents: DataFrame, documents_used: int = SAMPLE_DOCUMENTS, sentences_used: int = SAMPLE_SENTENCES, sentences_read: int = SENTENCES_READ, characters_read: int = CHARACTERS_READ, samples_used: int = SAMPLE_ROWS) -> Model:
     """Fit on the labelled *samples* (``lang``, ``text``), then once more with sentences of a bounded sample of documents.
 
-    The *documents_used* documents with the lowest hash of their id that state a language are read, at most 20 sentences
-    of each; a sentence is taken if the first fit agrees with the label; at most *sentences_used* of each language.
+    Of the samples the *samples_used* rows that come first by ``sample_id`` are taken. The *documents_used* documents with the lowest hash of their id that state a
+    language are drawn by id and label alone; of each, *sentences_read* sentences of the first *characters_read*
+    characters are read. A sentence is taken if the first fit agrees with the label; at most *sentences_used* of each
+    language. These bounds hold for the fit only: all texts are classified, as wholes.
     """
     languages = sorted(NOTATIONS)
-    first = [(letters_of(s), r.lang) for r in samples.where(F.col("lang").isin(*languages)).limit(documents_used).collect() for s in sentences(r.text)]
+    first = [(letters_of(s), r.lang) for r in samples.where(F.col("lang").isin(*languages)).orderBy("sample_id", "lang", "text").limit(samples_used).collect() for s in sentences(r.text)]
     first.sort()
     base = fit(*widened([x for x, _ in first], [y for _, y in first]), languages)
-    stated = documents.select("doc_id", stated_language(F.col("lang")).alias("stated"), "text").where("stated is not null and text is not null")
-    drawn = stated.select(F.xxhash64("doc_id").alias("h"), "doc_id", "stated", F.slice(sentences_of(F.substring("text", 1, 20_000)), 1, 20).alias("s")).orderBy("h", "doc_id").limit(documents_used).collect()
+    stated = documents.select("doc_id", stated_language(F.col("lang")).alias("stated"), F.xxhash64("doc_id").alias("h")).where("stated is not null")
+    chosen = stated.orderBy("h", "doc_id").limit(documents_used).collect()
+    ids = documents.sparkSession.createDataFrame([(r.doc_id,) for r in chosen], "doc_id long").distinct()
+    texts = documents.join(F.broadcast(ids), "doc_id").select("doc_id", F.substring("text", 1, characters_read).alias("text")).where("text is not null").collect()  # bounded by documents_used
+    held: dict[int, str] = {}
+    for r in sorted(texts):
+        held.setdefault(r.doc_id, r.text)
     lines, labels = [], []
-    for r in drawn:
-        for s in r.s:
+    for r in chosen:
+        for s in sentences(held.get(r.doc_id))[:sentences_read]:
             lines.append(letters_of(s))
             labels.append(r.stated)
     if not lines:
@@ -220,36 +247,51 @@ PASSAGES = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.St
 SHORT = 16
 
 
-def passages_in(text: str | None, model: Model, with_text: bool = True) -> list[dict]:
-    """The passages of a text, each of neighbouring sentences in one language."""
-    own = sentences(text)
-    if not own:
-        return []
-    lines = [letters_of(s) for s in own]
+def passages_in(texts: list[str | None], model: Model, with_text: bool = True) -> list[list[dict]]:
+    """The passages of each text, each of neighbouring sentences in one language."""
+    own = [sentences(t) for t in texts]
+    lines = [letters_of(s) for ss in own for s in ss]
+    if not lines:
+        return [[] for _ in texts]
     loss = model.losses(lines)
     size = np.array([len(x) - 2 for x in lines])
-    if len(own) > 1:
-        for i in np.flatnonzero(size < SHORT):
-            near = [j for j in (i - 1, i + 1) if 0 <= j < len(own) and size[j] >= SHORT]
-            if near:
-                loss[i] = (loss[i] + loss[near].mean(axis=0)) / 2
-    order = np.sort(loss, axis=1)
+    ends = np.cumsum([len(ss) for ss in own])
+    for i in np.flatnonzero(size < SHORT):
+        text = int(np.searchsorted(ends, i, side="right"))
+        begin = int(ends[text]) - len(own[text])
+        near = [j for j in (i - 1, i + 1) if begin <= j < ends[text] and size[j] >= SHORT]
+        if near:
+            loss[i] = (loss[i] + loss[near].mean(axis=0)) / 2
+    order = np.partition(loss, 1, axis=1)
     best, lead = loss.argmin(axis=1), order[:, 1] - order[:, 0]
     chance = np.exp(-loss * model.code.shape[1])
-    chance = chance[np.arange(len(own)), best] / chance.sum(axis=1)
+    chance = chance[np.arange(len(lines)), best] / chance.sum(axis=1)
+    unsure = (lead < LEAD) | (chance < SURE)
+    decoded = iter(zip(best.tolist(), chance.tolist(), unsure.tolist(), size.tolist(), strict=True))
+    return [_merged(ss, decoded, model.languages, with_text) for ss in own]
+
+
+def _merged(own: list[str], decoded: Iterator, languages: list[str], with_text: bool) -> list[dict]:
+    """The passages of one text from what its sentences were decoded to."""
     found: list[dict] = []
-    for s, k, p, d, n in zip(own, best, chance, lead, size, strict=True):
-        lang, unsure = model.languages[k], bool(d < LEAD or p < SURE)
+    for s, (k, p, ambiguous, n) in zip(own, decoded):  # noqa: B905
+        lang = languages[k]
         if found and found[-1]["lang"] == lang:
             g = found[-1]
             g["confidence"] = (g["confidence"] * g["letters"] + p * n) / max(1, g["letters"] + n)
-            g["ambiguous"] &= unsure
+            g["ambiguous"] &= ambiguous
             g["sentences"] += 1
-            g["letters"] += int(n)
-            g["parts"].append(s)
+            g["letters"] += n
+            g["text"].append(s)
         else:
-            found.append({"lang": lang, "confidence": float(p), "ambiguous": unsure, "sentences": 1, "letters": int(n), "parts": [s]})
-    return [{k: (float(v) if k == "confidence" else v) for k, v in g.items() if k != "parts"} | {"text": " ".join(g["parts"]) if with_text else None} for g in found]
+            found.append({"lang": lang, "confidence": p, "ambiguous": ambiguous, "sentences": 1, "letters": n, "text": [s]})
+    for g in found:
+        g["text"] = " ".join(g["text"]) if with_text else None
+    return found
+
+
+#: Texts that are decoded together.
+TOGETHER = 256
 
 
 def passages(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
@@ -270,7 +312,8 @@ def passages(documents: DataFrame, model: Model, key: str = "doc_id", text: str
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
         for texts in batches:
-            yield texts.map(lambda t: passages_in(t, own, with_text))
+            given = list(texts)
+            yield pd.Series([p for i in range(0, len(given), TOGETHER) for p in passages_in(given[i : i + TOGETHER], own, with_text)])
 
     return documents.select(F.col(f"`{key}`").alias(key), F.posexplode(find(F.col(f"`{text}`"))).alias("_n", "p")).select(key, (F.col("_n") + 1).alias("passage"), "p.*")
 
