@@ -55,12 +55,12 @@ TYPED = [
 ]
 
 
-@pytest.mark.parametrize("broadcast_rows", [1000, 0])
-def test_map_records(spark, broadcast_rows):
+@pytest.mark.parametrize("held_names", [1000, 0])
+def test_map_records(spark, held_names):
     rows = [(i, g, n, "clash") for i, (g, n, _) in enumerate(TYPED)] + [(100, "a", None, ""), (101, "a", "  ", ""), (0, *TYPED[0][:2], "clash")]
     df = spark.createDataFrame(rows, "row_index long, category string, display_name string, entry string")
     reference = spark.createDataFrame(REFERENCE, "group string, name string, entry string")
-    got = {r.row_index: r.entry for r in canonical.map_records(df, reference, "row_index", "display_name", F.col("category"), broadcast_rows).collect()}
+    got = {r.row_index: r.entry for r in canonical.map_records(df, reference, "row_index", "display_name", F.col("category"), held_names).collect()}
     assert got == {i: e for i, (_, _, e) in enumerate(TYPED)}
     assert canonical.map_records(df.limit(0), reference, "row_index", "display_name", F.col("category")).count() == 0
 
@@ -73,7 +73,7 @@ def test_distance():
 
 
 def test_title_and_author_keys():
-    full, main, sequel, has_sub, words, pairs = matching.title_parts("<i>Moral pleas &amp; the Speech</i> - a panel study: II.")
+    full, main, sequel, has_sub, words = matching.title_parts("<i>Moral pleas &amp; the Speech</i> - a panel study: II.")
     assert (full, main, sequel, has_sub) == ("moral pleas and the speech a panel study", "moral pleas and the speech", "part 2", True)
     assert matching.title_parts("X of Y, part two")[2] == "part 2" and matching.title_parts("X (second study)")[2] == "study second"
     assert matching.title_parts(None)[0] is None and matching.title_parts("!?")[0] is None
@@ -162,6 +162,23 @@ def test_repairs(spark):
     assert scans.repairs(spark.createDataFrame([], CHUNKS)).count() == 0
 
 
+def test_running_lines(spark):
+    header = "Vrykeasten and Solell"
+    chunks = [
+        ("a", "p", "Moral pleas in letters: a study", [4, 5], "a body line\n4\nIntroduction\n\nmix\n(12)\n[3]\npage 900\n- v -\nVrykeastten and Solell\nof the text", "", 1),
+        ("b", "p", "Moral pleas in letters: a study", None, "the text\nxc\nand on\nxci\nto here", "", 2),
+        ("c", "q", "Other things at length", [7, 8], "of it\n7\nTHE GREAT LINE\nof them\n8\nTHE GREAT 1INE\nof all", "", 3),
+        ("d", "q", "Other things at length", [9], "Introduction\nOther tbings at length\n" + "word " * 200 + "\n" + "LONG HEADER OF MANY WORDS " * 8 + "\n9", "", 4),
+        ("e", "q", "Other things at length", [10], "LONG HEADER OF MANY WORDS " * 8 + "\n10\nand so on", "", 5),
+        ("f", "r", None, None, "(1) of\n77\nof it\nANNALS OF M0RAL LANGUAGE, Vol. 5 (2001)\nclx", "", 6),
+    ]
+    papers = [("p", ["Wanda Vrykeasten", "B. Solell"], 1), ("p", ["Wanda Vrykeasten", "B. Solell"], 1), ("q", None, 7), (None, ["x"], None), ("r", None, 1)]
+    venues = spark.createDataFrame([(1, "Annals of Moral Language"), (2, None)], "venue_id long, venue_name string")
+    df = spark.createDataFrame(chunks, CHUNKS)
+    drops = scans.running_lines(df, Scratch(spark), spark.createDataFrame(papers, "paper_id string, authors array<string>, venue_id long"), venues)
+    assert {r.chunk_id: sorted(r.drop) for r in drops.collect()} == {"a": [2, 9, 10], "b": [2, 4], "c": [2, 3, 5, 6], "d": [2, 4, 5], "e": [1, 2], "f": [4, 5]}, header
+
+
 def test_paragraphs(spark):
     common = "the council and the post-test members rated the hand-checked letters in both the pre- and post-test phases of an international study\n\n" * 60
     scanned = (
@@ -188,13 +205,18 @@ def test_encoding(spark):
     for _ in range(500):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 200)))
         assert encoding.encode_text(text, encode, leaf=rng.choice([1, 3, 8, 40])) == encode(text)
-    texts = {1: "plain text", 2: "", 3: None, 4: "héllo wörld 日本 " * 700, 5: "x" * 9_000, 6: "plain text"}
-    df = spark.createDataFrame([(k, t, [0]) for k, t in texts.items()], "doc_id long, text string, ids array<int>")
-    got = encoding.encode_documents(df, leaf=1_000)
-    found = {r.doc_id: r.ids for r in got.collect()}
-    assert found == {k: encode(t) if t else [] for k, t in texts.items()}
-    assert {r.doc_id: r.text for r in encoding.decode_documents(got).collect()} == {k: t or "" for k, t in texts.items()}
-    assert {r.doc_id: r.tokens for r in encoding.token_counts(df).collect()} == {k: len(v) for k, v in found.items()}
+    for _ in range(200):
+        stretches = [encoding.stretch("".join(rng.choice(parts) for _ in range(rng.randint(0, 30))), encode, 8) for _ in range(3)]
+        a, b, c = stretches
+        assert encoding.join(encoding.join(a, b, encode), c, encode) == encoding.join(a, encoding.join(b, c, encode), encode)
+        assert encoding.join(a, encoding.Encoded(""), encode) == a == encoding.join(encoding.Encoded(""), a, encode)
+    rows = [(1, "plain text"), (2, ""), (3, None), (4, "héllo wörld 日本 " * 700), (5, "x" * 9_000), (6, "plain text"), (6, "plain text"), (7, "one long text " * 300), (7, "one long text " * 300), (7, "another long text " * 300), (None, "no key " * 700)]
+    df = spark.createDataFrame([(k, t, [0]) for k, t in rows], "doc_id long, text string, ids array<int>")
+    got = encoding.encode_documents(df, leaf=100, part=1_000)
+    expected = sorted(((k, encode(t) if t else []) for k, t in rows), key=repr)
+    assert sorted(((r.doc_id, r.ids) for r in got.collect()), key=repr) == expected
+    assert sorted((repr(r.doc_id), r.text) for r in encoding.decode_documents(got).collect()) == sorted((repr(k), t or "") for k, t in rows)
+    assert sorted((repr(r.doc_id), r.tokens) for r in encoding.token_counts(df).collect()) == sorted((repr(k), len(v)) for k, v in expected)
     assert encoding.encode_documents(df.limit(0)).count() == 0
 
 
