@@ -5,11 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running_total, text_bucket
+
 
 def ranked_set(rows: DataFrame, category: str, name: str, support: str) -> DataFrame:
-    """One row for each category and name with its support and ``rank`` within the category, the best first."""
+    """One row for each category and name with its support and ``rank`` within the category, the best first.
+
+    Ranks are counts of the rows before, taken by buckets of support and beginning of the name, so that no task ranks a
+    whole category.
+    """
     once = rows.where((F.col(name) != "") & F.col(category).isNotNull()).groupBy(F.col(category).alias("category"), F.col(name).alias("name")).agg(F.max(support).alias("support"))
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("support"), "name")))
+    bucket = F.when(F.col("support").isNull(), F.lit(2**62)).otherwise(-F.col("support").cast("long") * 2**24 + text_bucket(F.col("name")))
+    placed = running_total(once.withColumn("_bucket", bucket).withColumn("_one", F.lit(1)), ["category"], "_bucket", ["name"], "_one", "_before")
+    return placed.withColumn("rank", (F.col("_before") + 1).cast("int")).drop("_bucket", "_one", "_before")
 
 
 def _joined(a: DataFrame, b: DataFrame) -> DataFrame:

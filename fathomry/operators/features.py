@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, values
+from .running import running_total, text_bucket
 
 #: The rank of the kinds of evidence, the best first.
 EVIDENCE_ORDER = ("definition", "taxonomy_row", "example", "named_mention")
@@ -101,8 +102,12 @@ def score_percentiles(rows: DataFrame, metrics: list[str], category: str) -> Dat
 
 
 def batches(rows: DataFrame, category: str, key: str, size: int) -> DataFrame:
-    """Batches of *size* keys in the order of keys within each category, with an id that changes with their content."""
-    numbered = rows.select(category, key).distinct().withColumn("_n", F.row_number().over(Window.partitionBy(category).orderBy(key)))
-    grouped = numbered.groupBy(category, F.floor((F.col("_n") - 1) / size).alias("batch")).agg(F.array_join(F.array_sort(F.collect_list(key)), "\n").alias("_keys"), F.count("*").alias("keys"))
+    """Batches of *size* keys in the order of keys within each category, with an id that changes with their content.
+
+    Keys are numbered by buckets of their beginnings, so that no task orders a whole category.
+    """
+    placed = rows.select(category, key).distinct().withColumn("_bucket", text_bucket(F.col(key))).withColumn("_one", F.lit(1))
+    numbered = running_total(placed, [category], "_bucket", [key], "_one", "_n")
+    grouped = numbered.groupBy(category, F.floor(F.col("_n") / size).alias("batch")).agg(F.array_join(F.array_sort(F.collect_list(key)), "\n").alias("_keys"), F.count("*").alias("keys"))
     ident = F.concat_ws(":", F.col(category), (F.col("batch") + 1).cast("string"), values.short_hash(F.col("_keys"), 10))
     return grouped.select(category, (F.col("batch") + 1).alias("batch"), "keys", ident.alias("batch_id"))

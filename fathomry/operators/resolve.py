@@ -9,18 +9,6 @@ from ..functions import text
 from ..shared import Scratch
 from .similarity import linked_groups
 
-#: What titles about the subject hold, with weights, and what speaks against it.
-TITLE_WEIGHTS = [
-    (r"\btaxonom(?:y|ies)\b", 14), (r"\bclassification\b", 5), (r"\bannotation\b", 6), (r"\bdataset\b", 5), (r"\bbenchmark\b", 5),
-    (r"\bpropaganda techniques?\b", 10), (r"\bpersua\w* techniques?\b", 9), (r"\bpropaganda\b", 16), (r"\bpersua\w*\b", 15), (r"\brhetoric\w*\b", 13),
-    (r"\bfallac(?:y|ies)\b", 12), (r"\bframing\b", 7), (r"\bframe(?:s|d)?\b", 3), (r"\bmoral(?:ity)?\b", 7), (r"\bmoral foundations?\b", 9),
-    (r"\bsentiment\b", 9), (r"\bemotion\w*\b", 9), (r"\baffect(?:ive|s)?\b", 8), (r"\bmedia bias\b", 11), (r"\bmedia analys(?:is|es)\b", 8),
-    (r"\bnews media\b", 7), (r"\bjournalis\w*\b", 6), (r"\bdisinformation\b", 10), (r"\bmisinformation\b", 10), (r"\bnarrative(?:s)?\b", 6),
-    (r"\bideolog(?:y|ical)\b", 5), (r"\bpolitical communication\b", 7), (r"\bdiscourse\b", 4), (r"\bstance\b", 4),
-]
-TITLE_PENALTIES = [(r"\bpoint cloud\b", 8), (r"\bcompression\b", 5), (r"\bsensor\b", 4), (r"\bsemiconductor\b", 5), (r"\bcell atlas\b", 5), (r"\bclinical\b", 3)]
-
-
 def keys_of(rows: DataFrame, position: str, keys: list[tuple[str, Column]]) -> DataFrame:
     """``item`` and ``key`` of each key a row has; a key is named by its kind."""
     made = F.array_compact(F.array(*[F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{kind}:"), c)) for kind, c in keys]))
@@ -80,9 +68,9 @@ def merged_records(rows: DataFrame, groups: DataFrame, position: str, first: lis
     return found
 
 
-def title_score(title: Column) -> Column:
-    """How much a title is about the subject: weights of what it holds less what speaks against it, at least 0."""
-    return F.greatest(text.weighted_matches(title, TITLE_WEIGHTS) - text.weighted_matches(title, TITLE_PENALTIES), F.lit(0.0))
+def title_score(title: Column, weights: list[tuple[str, float]], penalties: list[tuple[str, float]]) -> Column:
+    """How much a title is about a subject: the weights of the patterns it holds less those that speak against it, at least 0."""
+    return F.greatest(text.weighted_matches(title, weights) - text.weighted_matches(title, penalties), F.lit(0.0))
 
 
 def metadata_score(source_score: Column, citations: Column, year: Column, has_address: Column, has_doi: Column, this_year: int) -> Column:

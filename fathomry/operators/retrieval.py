@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..shared import small_side
+from ..shared import Scratch, rows_if_small, small_side
 
 #: The constants of the BM25 formula.
 K1, B = 1.2, 0.75
-#: Terms of a query, at most.
-QUERY_TERMS = 14
+#: Terms of a query, at most; and terms of all queries up to which the words of a text are compared with each of them at once.
+QUERY_TERMS, FEW_TERMS = 14, 2_000
 
 
 def chunk_words(documents: DataFrame, key: str, text: str, size: int = 700, step_back: int = 80, least: int = 40) -> DataFrame:
@@ -35,18 +35,21 @@ def query_terms(queries: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(documents: DataFrame, queries: DataFrame, document: str, text: str, query: str, query_text: str, limit: int) -> DataFrame:
     """The *limit* best documents of each query: *query*, *document*, ``score``, ``rank``.
 
-    Only the postings of the queries' terms are made; document lengths and frequencies count all documents. Queries
-    are a set checked for its size and broadcast, or joined by shuffle beyond it. Ties go to the lower document.
+    Texts are read once: what is kept of each are its length and its words that are a query's. Document lengths and
+    frequencies count all documents. Queries are a set checked for its size and broadcast, or joined by shuffle beyond
+    it. Ties go to the lower document.
     """
+    scratch = Scratch(documents.sparkSession)
     terms = query_terms(queries, query, query_text)
     words = documents.select(document, t.tokens(F.col(text)).alias("_w"))
-    sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("_w")).alias("mean"))
     wanted = terms.select("term").distinct()
-    postings = (
-        words.select(document, F.size("_w").alias("length"), F.explode("_w").alias("term"))
-        .join(small_side(wanted), "term")
-        .groupBy(document, "term").agg(F.first("length").alias("length"), F.count("*").alias("tf"))
-    )
+    few = rows_if_small(wanted, FEW_TERMS)
+    hits = F.filter("_w", lambda w: w.isin(*[r.term for r in few])) if few is not None else F.col("_w")
+    held = scratch.keep(words.select(document, F.size("_w").alias("length"), hits.alias("_w")), "hits")
+    sizes = held.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    each = held.select(document, "length", F.explode("_w").alias("term"))
+    each = each if few is not None else each.join(small_side(wanted), "term")
+    postings = scratch.keep(each.groupBy(document, "term").agg(F.max("length").alias("length"), F.count("*").alias("tf")), "postings")
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     weights = frequency.join(F.broadcast(sizes), F.lit(True)).select("term", F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6)).alias("idf"), "mean")
     tf = F.col("tf")
@@ -83,10 +86,8 @@ def keyword_ngrams(documents: DataFrame, text: str, longest: int, limit: int) ->
     counted = counted.where((F.col("n") == 1) | (F.size(F.array_distinct(F.split("phrase", " "))) > 1))
     score = F.round(F.col("occurrences") * (1.0 + (F.col("n") - 1) * 0.35) + F.when(F.col("n") > 1, 0.5).otherwise(0.0), 4)
     scored = counted.withColumn("score", score).withColumn("kind", F.when(F.col("n") == 1, "keyword").otherwise("phrase"))
-    # the best of each kind is taken by partial sorts, not by a window over all n-grams
-    best = [scored.where(F.col("kind") == k).orderBy(F.desc("score"), "phrase").limit(limit) for k in ("keyword", "phrase")]
-    both = best[0].unionByName(best[1])
-    return both.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "phrase"))).select("kind", "rank", "phrase", "occurrences", "score")
+    # a limit on the rank, so that each task hands on its own best only
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("score"), "phrase"))).where(F.col("rank") <= limit).select("kind", "rank", "phrase", "occurrences", "score")
 
 
 def top_terms(documents: DataFrame, group: str, document: str, text: str, limit: int) -> DataFrame:

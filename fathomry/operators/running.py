@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def text_bucket(c: Column) -> Column:
+    """A number that orders texts as they are ordered, by their first three characters, so that many texts fall into many buckets."""
+    code = lambda i: F.least(F.ascii(F.substring(c, i, 1)), F.lit(255)).cast("long")
+    return code(1) * 65_536 + code(2) * 256 + code(3)
+
+
 def running_total(rows: DataFrame, group: list[str], bucket: str, order: list[str], value: str, name: str) -> DataFrame:
     """*rows* with *name*, the sum of *value* over the rows of the same *group* before each row.
 

@@ -9,19 +9,21 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import Scratch
+from ..shared import Scratch, small_side
 
-#: Vectors that cells are built around, at most, and vectors of a block of a cell, about.
-PIVOTS, BLOCK = 64, 512
+#: Vectors that cells are built around, at least and at most, and vectors of a block of a cell, about.
+PIVOTS, MOST_PIVOTS, BLOCK = 8, 2_048, 512
 
 
-def cosine_pairs(items: DataFrame, key: str, vector: str, threshold: float, scope: str | None = None, pivots: int = PIVOTS, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+def cosine_pairs(items: DataFrame, key: str, vector: str, threshold: float, scope: str | None = None, pivots: int | None = None, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """All pairs of items whose cosine is at least *threshold*: ``l`` < ``r``, ``similarity`` (rounded to 6).
 
-    Exact. Each vector belongs to the cell of its nearest pivot (the pivots are the vectors with the lowest hashes).
+    Exact. Each vector belongs to the cell of its nearest pivot (the pivots are the vectors with the lowest hashes; their
+    number grows with the root of the vectors' number in a scope, up to MOST_PIVOTS).
     Two cells can hold a pair only if the angle between their pivots is at most the greatest angles within both plus
     the angle of the threshold; others are never compared. Cells are cut into blocks, and a block pair is one matrix
-    product in a task. With *scope* only items of equal, known scope are compared. The comparison uses the exact cosine,
+    product in a task. With *scope* only items of equal, known scope are compared, and each scope has its own blocks. A low
+    threshold leaves all cells near, and then all pairs of a scope are compared. The comparison uses the exact cosine,
     the result a rounded one. Zero vectors are similar to nothing; null vectors and keys don't take part.
     """
     scratch = scratch or Scratch(items.sparkSession)
@@ -29,7 +31,9 @@ def cosine_pairs(items: DataFrame, key: str, vector: str, threshold: float, scop
     norm = F.sqrt(F.aggregate(F.transform(vector, lambda x: x.cast("double") * x.cast("double")), F.lit(0.0), lambda a, x: a + x))
     unit = items.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), (F.col(scope).cast("string") if scope else F.lit("")).alias("scope"), F.transform(vector, lambda x: x.cast("double")).alias("v"), norm.alias("n")).where("n > 0 and scope is not null")
     unit = unit.select("id", "scope", F.transform("v", lambda x: x / F.col("n")).alias("v"))
-    drawn = np.array([r.v for r in unit.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()])
+    n, scopes = unit.agg(F.count("*"), F.count_distinct("scope")).first()
+    pivots = pivots or int(min(MOST_PIVOTS, max(PIVOTS, (n / max(1, scopes)) ** 0.5)))
+    drawn = np.array([r.v for r in unit.orderBy(F.xxhash64("id"), "id").limit(pivots).collect()])  # bounded by pivots
     angle = float(np.arccos(np.clip(threshold, -1, 1)))
     if not len(drawn):
         return spark.createDataFrame([], "l long, r long, similarity double")
@@ -44,15 +48,23 @@ def cosine_pairs(items: DataFrame, key: str, vector: str, threshold: float, scop
 
     cells = unit.mapInPandas(in_cells, "id long, scope string, v array<double>, cell int, far double")
     cells = scratch.keep(cells, "cells")
-    sizes = cells.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()  # a row for each pivot
-    far, blocks = {r.cell: r.far for r in sizes}, {r.cell: max(1, -(-r.n // block)) for r in sizes}
-    between = np.arccos(np.clip(drawn @ drawn.T, -1, 1))
-    near = [(a, b) for a in far for b in far if a <= b and between[a, b] - far[a] - far[b] <= angle + 1e-9]
-    partners = spark.createDataFrame(near, "a int, b int")
-    counts = spark.createDataFrame(list(blocks.items()), "cell int, blocks long")
-    placed = cells.join(F.broadcast(counts), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("far", "blocks")
-    left = placed.join(F.broadcast(partners.join(counts.withColumnRenamed("cell", "b"), "b")), placed["cell"] == F.col("a")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("a < b or block <= other").select("id", "scope", "v", "a", "b", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("first"))
-    right = placed.join(F.broadcast(partners.join(counts.withColumnRenamed("cell", "a"), "a")), placed["cell"] == F.col("b")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("a < b or other < block").select("id", "scope", "v", "a", "b", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("first"))
+    far = {r.cell: r.far for r in cells.groupBy("cell").agg(F.max("far").alias("far")).collect()}  # a row for each pivot
+    own = np.array(sorted(far))
+    reach = np.array([far[c] for c in own])
+    between = np.arccos(np.clip(drawn[own] @ drawn[own].T, -1, 1)) - reach[:, None] - reach[None]
+    x, y = np.nonzero(np.triu(between <= angle + 1e-9))
+    partners = spark.createDataFrame(pd.DataFrame({"a": own[x].astype("int32"), "b": own[y].astype("int32")}))
+    counts = scratch.keep(cells.groupBy("scope", "cell").agg(F.ceil(F.count("*") / block).alias("blocks")), "counts")
+    placed = cells.join(small_side(counts), ["scope", "cell"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("far", "blocks")
+
+    def side(cell: str, other: str) -> DataFrame:
+        """The vectors of the cells *cell*, once for each block of the cells *other* of their scope."""
+        partner = partners.join(counts.select(F.col("cell").alias(other), F.col("scope").alias("_scope"), "blocks"), other)
+        met = placed.join(small_side(partner), (placed["cell"] == F.col(cell)) & (placed["scope"] == F.col("_scope")))
+        return met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
+    left = side("a", "b").where("a < b or block <= other").select("id", "scope", "v", "a", "b", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("first"))
+    right = side("b", "a").where("a < b or other < block").select("id", "scope", "v", "a", "b", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("first"))
 
     def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf[pdf["first"]]
@@ -60,14 +72,12 @@ def cosine_pairs(items: DataFrame, key: str, vector: str, threshold: float, scop
         if not len(own) or not len(other):
             return pd.DataFrame({"l": [], "r": [], "similarity": []}).astype({"l": "int64", "r": "int64"})
         dots = np.stack(own["v"].to_numpy()) @ np.stack(other["v"].to_numpy()).T
-        hit = dots >= threshold
-        hit &= own["scope"].to_numpy()[:, None] == other["scope"].to_numpy()[None]
-        x, y = np.nonzero(hit)
+        x, y = np.nonzero(dots >= threshold)
         a, b, s = own["id"].to_numpy()[x], other["id"].to_numpy()[y], dots[x, y]
         keep = a < b if other is own else a != b
         return pd.DataFrame({"l": np.minimum(a, b)[keep], "r": np.maximum(a, b)[keep], "similarity": s[keep]})
 
-    pairs = left.unionByName(right).groupBy("a", "b", "i", "j").applyInPandas(multiply, "l long, r long, similarity double")
+    pairs = left.unionByName(right).groupBy("scope", "a", "b", "i", "j").applyInPandas(multiply, "l long, r long, similarity double")
     return pairs.select("l", "r", F.round("similarity", 6).alias("similarity"))
 
 

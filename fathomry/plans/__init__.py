@@ -1,3 +1,3 @@
 """The registered queries. Importing this package registers those of all its modules."""
 
-from . import comparison, curation, features, ingest, packed, papers, reports, similarity, streams  # noqa: F401
+from . import comparison, curation, features, ingest, packed, papers, payloads, reports, similarity, streams  # noqa: F401

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import compare as c
+from ..shared import Scratch
 from ..tables import table
 from .features import NAME, RECORDS, records
 from .registry import query
@@ -16,10 +17,11 @@ r1 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY support DESC
 
 
 def sets(spark, folder):
-    a = c.ranked_set(records(spark, folder), "category_key", "name", "paper_count")
+    scratch = Scratch(spark)  # each set is ranked once, however often it is read
+    a = scratch.keep(c.ranked_set(records(spark, folder), "category_key", "name", "paper_count"), "set1")
     sent = table(spark, folder, "inventory_rows").select("category", "feature_id", text.normalize_name(F.col("canonical_feature_name")).alias("name"))
     b = c.ranked_set(sent.groupBy("category", "name").agg(F.count_distinct("feature_id").alias("n")), "category", "name", "n")
-    return a, b
+    return a, scratch.keep(b, "set2")
 
 
 @query("feature_union", f"""WITH {SETS} SELECT coalesce(a.category, b.category) AS category, coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'set_2_only' WHEN b.name IS NULL THEN 'set_1_only' ELSE 'both' END AS membership,

@@ -10,8 +10,8 @@ from ..operators import features as f
 from ..operators import ledger as led
 from ..operators import resolve as res
 from ..operators import retrieval as ret
+from ..shared import small_side
 from ..tables import table
-from . import registry
 from .registry import query
 
 DOI = "nullif(regexp_replace(trim(regexp_replace(regexp_replace(lower(trim(coalesce({c},''))), '^(https?://)?(dx\\.)?doi\\.org/', ''), '^doi:\\s*', '')), '\\.+$', ''), '')"
@@ -37,9 +37,14 @@ def papers_in_years(spark, folder):
     return table(spark, folder, "candidates").where(F.col("year").isNull() | F.col("year").between(2000, 2015)).select("pos", "year", F.col("year").isNull().alias("undated"))
 
 
-@query("paper_title_rank", "WITH s AS (SELECT pos, greatest(" + " + ".join(f"CASE WHEN regexp_matches(lower(coalesce(title,'')), '{p}') THEN {w} ELSE 0 END" for p, w in res.TITLE_WEIGHTS) + " - (" + " + ".join(f"CASE WHEN regexp_matches(lower(coalesce(title,'')), '{p}') THEN {w} ELSE 0 END" for p, w in res.TITLE_PENALTIES) + "), 0)::DOUBLE AS score FROM candidates) SELECT pos, score FROM s WHERE score > 0")
+#: A subject to rank titles by, and what speaks against it.
+SUBJECT = [(r"\bmoral\w*\b", 6), (r"\bpersuasi\w*\b", 5), (r"\bcorpus\b", 3), (r"\bpanel stud(?:y|ies)\b", 3), (r"\bfairness\b", 2), (r"\bwarnings?\b", 2)]
+BESIDE = [(r"\bpreface\b", 4), (r"\berratum\b", 4)]
+
+
+@query("paper_title_rank", "WITH s AS (SELECT pos, greatest(" + " + ".join(f"CASE WHEN regexp_matches(lower(coalesce(title,'')), '{p}') THEN {w} ELSE 0 END" for p, w in SUBJECT) + " - (" + " + ".join(f"CASE WHEN regexp_matches(lower(coalesce(title,'')), '{p}') THEN {w} ELSE 0 END" for p, w in BESIDE) + "), 0)::DOUBLE AS score FROM candidates) SELECT pos, score FROM s WHERE score > 0")
 def paper_title_rank(spark, folder):
-    return table(spark, folder, "candidates").select("pos", res.title_score(F.col("title")).alias("score")).where("score > 0")
+    return table(spark, folder, "candidates").select("pos", res.title_score(F.col("title"), SUBJECT, BESIDE).alias("score")).where("score > 0")
 
 
 @query("paper_rank", f"""WITH v AS (SELECT list_distinct({CONTENT.format(c="'persuasion framing moral emotion audiences argument narrative authority warnings fairness'")}) AS terms),
@@ -91,7 +96,7 @@ def service_combinations(spark, folder):
 
 @query("status_of_venue", "SELECT coalesce(v.venue_name, 'none') AS venue, count(*) FILTER (WHERE status = 'converted') AS converted, count(*) FILTER (WHERE status = 'already_exists') AS already_exists, count(*) FILTER (WHERE status = 'no_text') AS no_text FROM papers p LEFT JOIN venues v USING (venue_id) GROUP BY ALL")
 def status_of_venue(spark, folder):
-    p = table(spark, folder, "papers").join(F.broadcast(table(spark, folder, "venues").select("venue_id", "venue_name")), "venue_id", "left")  # fixed list of venues
+    p = table(spark, folder, "papers").join(small_side(table(spark, folder, "venues").select("venue_id", "venue_name")), "venue_id", "left")
     return p.groupBy(F.coalesce("venue_name", F.lit("none")).alias("venue")).pivot("status", ["converted", "already_exists", "no_text"]).count().fillna(0)
 
 
@@ -109,9 +114,6 @@ def top_terms_of_language(spark, folder):
     return ret.top_terms(table(spark, folder, "documents"), "lang", "doc_id", "text", 20)
 
 
-registry.FLAGSHIP = top_terms_of_language
-
-
 @query("keyword_ngrams", f"""WITH d AS (SELECT {CONTENT.format(c='text')} AS w FROM documents), g AS (SELECT n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS phrase FROM d, (SELECT unnest([1,2,3,4]) AS n) WHERE len(w) >= n),
 c AS (SELECT n, phrase, count(*) AS occurrences FROM g GROUP BY ALL), s AS (SELECT CASE WHEN n = 1 THEN 'keyword' ELSE 'phrase' END AS kind, phrase, occurrences, round(occurrences * (1.0 + (n-1)*0.35) + CASE WHEN n > 1 THEN 0.5 ELSE 0 END, 4)::DOUBLE AS score FROM c WHERE n = 1 OR len(list_distinct(string_split(phrase, ' '))) > 1)
 SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY score DESC, phrase) AS rank, phrase, occurrences, score FROM s QUALIFY rank <= 30""")

@@ -22,8 +22,3 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
-
-
-# The modules below register their queries when they are imported.
-def FLAGSHIP(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["p3_found"](spark, folder)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import quantiles as q
 from ..operators import similarity as s
 from ..tables import table
+from .curation import linked_sql
 from .registry import query
 
 CLEAN = "pairs AS (SELECT similarity FROM similarity_pairs WHERE similarity IS NOT NULL AND NOT isnan(similarity))"
@@ -45,7 +46,9 @@ def threshold_pairs(spark, folder):
     return best.select(F.explode(reached).alias("threshold")).groupBy("threshold").agg(F.count("*").alias("pairs"))
 
 
-@query("threshold_sweep")
+@query("threshold_sweep", """WITH RECURSIVE b AS (SELECT least(left_index, right_index) AS a, greatest(left_index, right_index) AS b, max(similarity) AS similarity FROM similarity_pairs WHERE left_index <> right_index AND NOT isnan(similarity) GROUP BY ALL), p AS (SELECT t, a, b FROM b, (SELECT unnest([0.8,0.85,0.9,0.92,0.94,0.96,0.98])::DOUBLE AS t) WHERE similarity >= t),
+e AS (SELECT t, a, b FROM p UNION SELECT t, b, a FROM p), cc(t, id, comp) USING KEY (t, id) AS (SELECT t, a AS id, min(least(a, b)) AS comp FROM e GROUP BY t, a UNION SELECT e.t, e.b AS id, min(cc.comp) AS comp FROM cc JOIN e ON e.a = cc.id AND e.t = cc.t JOIN recurring.cc AS r ON r.id = e.b AND r.t = e.t WHERE cc.comp < r.comp GROUP BY e.t, e.b),
+n AS (SELECT t, count(*) AS pairs FROM p GROUP BY ALL) SELECT cc.t AS threshold, any_value(pairs) AS pairs, count(DISTINCT comp) AS groups, count(*) AS grouped, count(*) - count(DISTINCT comp) AS absorbed FROM cc JOIN n ON n.t = cc.t GROUP BY cc.t""")
 def threshold_sweep(spark, folder):
     return s.threshold_sweep(linked_pairs(spark, folder), THRESHOLDS)
 
@@ -55,19 +58,24 @@ def groups(spark, folder):
     return s.linked_groups(p.select(F.col("l").alias("a"), F.col("r").alias("b")))
 
 
-@query("single_link_groups")
+@query("single_link_groups", f'WITH RECURSIVE {linked_sql("0.95")} SELECT id AS item, comp AS "group" FROM cc')
 def single_link_groups(spark, folder):
     return groups(spark, folder)
 
 
-@query("group_canonicals")
+CANONICAL = f"""WITH RECURSIVE {linked_sql('0.95')}, f AS (SELECT DISTINCT row_index, category_key, display_name, paper_count, mention_count FROM feature_records), j AS (SELECT f.*, comp FROM f JOIN cc ON id = row_index),
+b AS (SELECT comp, row_index FROM j QUALIFY row_number() OVER (PARTITION BY comp ORDER BY coalesce(paper_count, 0) DESC, coalesce(mention_count, 0) DESC, length(coalesce(display_name, '')), row_index) = 1)"""
+
+
+@query("group_canonicals", f'{CANONICAL} SELECT j.comp AS "group", any_value(b.row_index) AS canonical, count(*) AS members FROM j JOIN b ON b.comp = j.comp GROUP BY j.comp')
 def group_canonicals(spark, folder):
     items = table(spark, folder, "feature_records").dropDuplicates(["row_index"])
     rank = [F.coalesce("paper_count", F.lit(0)), F.coalesce("mention_count", F.lit(0)), -F.length(F.coalesce("display_name", F.lit("")))]
     return s.canonical_items(groups(spark, folder), items, "row_index", rank)
 
 
-@query("merge_retention")
+@query("merge_retention", f"""{CANONICAL} SELECT f.category_key, count(*) AS items, count(*) FILTER (WHERE cc.id IS NULL OR b.row_index IS NOT NULL) AS kept, count(*) FILTER (WHERE cc.id IS NOT NULL AND b.row_index IS NULL) AS absorbed
+FROM f LEFT JOIN cc ON cc.id = f.row_index LEFT JOIN b ON b.row_index = f.row_index GROUP BY ALL""")
 def merge_retention(spark, folder):
     items = table(spark, folder, "feature_records").dropDuplicates(["row_index"])
     g = groups(spark, folder)
