@@ -37,7 +37,11 @@ def json_lines(spark: SparkSession, path: str, schema: str, bad: str | None = No
 
 
 def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The rows of whole-file JSON documents: a list, or an object that holds a list under one of the known names."""
+    """The rows of whole-file JSON documents: a list, or an object that holds a list under one of the known names.
+
+    A document is read as one row in one task, so it should have no more than some hundred MB; larger tables belong in
+    JSON lines.
+    """
     raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
     rows = f"array<struct<{', '.join(_typed(schema))}>>"
     lists = F.when(F.col("value").startswith("["), F.from_json("value", rows))

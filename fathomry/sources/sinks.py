@@ -28,9 +28,12 @@ def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write a table; rows of a partition value are spread by content first, so that a hot value has many files."""
+def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None, spread: int = 16) -> None:
+    """Write a table; rows of a partition value are spread over at most *spread* tasks by their content first, so that a hot
+    value has several files and a task doesn't write to all values."""
     if partition_by:
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]), F.lit(spread))
+        df = df.repartition(*[F.col(f"`{c}`") for c in partition_by], salt)
         df.write.mode("overwrite").partitionBy(*partition_by).option("maxRecordsPerFile", 5_000_000).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)

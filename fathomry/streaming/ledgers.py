@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..shared import shared_folder
 
 
-def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
     """Run a stream over all that is there, and return its result as a table.
 
-    In append mode each batch is written as files; in complete and update mode a batch's rows take the place of the
-    keys' earlier ones when the table is read, as a later batch has the greater number. Checkpoints and output lie in
-    the shared folder, so a run goes on after a failure where it stopped.
+    In append mode each batch is written as files. In update mode a batch holds only the rows that it changed; when the table
+    is read, the row of each of *keys* from the latest batch counts. In complete mode each batch holds everything, and
+    the last one counts; that is for small results. Checkpoints and output lie in the shared folder, so a run goes on after a
+    failure where it stopped.
     """
     spark = stream.sparkSession
     root = f"{shared_folder(spark)}/fathomry-stream-{uuid.uuid4().hex}/{name}"
@@ -30,6 +31,10 @@ def run_to_end(stream: DataFrame, mode: str, name: str) -> DataFrame:
     if mode == "complete":
         last = found.agg(F.max("_batch")).first()[0]
         found = found.where(F.col("_batch") == F.lit(last if last is not None else -1))
+    if mode == "update":
+        others = [c for c in found.columns if c not in keys]
+        latest = found.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_row"))
+        found = latest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in others])
     return found
 
 

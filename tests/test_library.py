@@ -265,3 +265,10 @@ def test_linked_groups_end(spark):
         chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "a long, b long")
         assert {tuple(r) for r in similarity.linked_groups(chain).collect()} == {(i, 0) for i in range(n + 1)}
     assert similarity.linked_groups(chain.limit(0)).count() == 0
+
+
+def test_write_partitioned(spark, tmp_path):
+    df = spark.createDataFrame([(i, "hot" if i % 10 else "cold", None) for i in range(2_000)], "i int, kind string, e string")
+    sinks.write_parquet(df, str(tmp_path / "out"), ["kind"], spread=4)
+    assert spark.read.parquet(str(tmp_path / "out")).groupBy("kind").count().orderBy("kind").collect() == [("cold", 200), ("hot", 1800)]
+    assert len(list((tmp_path / "out" / "kind=hot").glob("*.parquet"))) <= 4
