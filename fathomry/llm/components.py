@@ -21,7 +21,7 @@ def merge_groups(pairs: DataFrame, threshold: float = 0.9, left: str = "left_ind
     Method: seed-tree pruning. In each round every vertex tells its neighbours the smallest index it knows; a vertex
     that no one holds for a minimum leaves the graph and hangs under the smallest index it was told, in a forest. The
     other minima stay linked among themselves. When no link is left, the seeds' indices flow down the forest, round by
-    round from the last to the first. Each round costs a constant number of joins on vertices; long chains take about
+    round from the last to the first; each round writes its own vertices only. Each round costs a constant number of joins on vertices; long chains take about
     log n rounds. Minima are pre-aggregated before each shuffle, no neighbourhood is collected, and a hub's links stay
     rows that adaptive execution can split.
 
@@ -49,16 +49,17 @@ def merge_groups(pairs: DataFrame, threshold: float = 0.9, left: str = "left_ind
         links = scratch.keep(left_over, f"links{n + 1}")
         scratch.drop(f"links{n}", f"told{n}")
         rounds.append(tree)
-    found = None
+    known: DataFrame | None = None
     for n, tree in reversed(list(enumerate(rounds))):
-        if found is None:
+        if known is None:
             level = tree.select(F.col("child").alias("row_index"), F.col("parent").alias("group_id"))
         else:
-            known = found.select(F.col("row_index").alias("parent"), "group_id")
-            level = tree.join(known, "parent", "left").select(F.col("child").alias("row_index"), F.coalesce("group_id", "parent").alias("group_id"))
-            level = level.unionByName(found)
-        found = scratch.keep(level, f"found{n}")
-    if found is None:
+            parents = known.select(F.col("row_index").alias("parent"), "group_id")
+            level = tree.join(parents, "parent", "left").select(F.col("child").alias("row_index"), F.coalesce("group_id", "parent").alias("group_id"))
+        level = scratch.keep(level, f"found{n}")
+        known = level if known is None else known.unionByName(level)
+        scratch.drop(f"tree{n}")
+    if known is None:
         return links.select(F.col("a").alias("group_id"), F.col("b").alias("row_index"))
-    seeds = found.select("group_id").distinct().select("group_id", F.col("group_id").alias("row_index"))
-    return found.select("group_id", "row_index").unionByName(seeds)
+    seeds = known.select("group_id").distinct().select("group_id", F.col("group_id").alias("row_index"))
+    return known.select("group_id", "row_index").unionByName(seeds)
