@@ -48,7 +48,7 @@ def source_rank(apis: Column) -> Column:
 
 @dataclass(frozen=True)
 class Field:
-    """A field to survive. quality: int column, 2 for whole, 1 for present, 0 for missing; full: what counts among equals before the source."""
+    """A field to survive. quality: int column, 2 for whole, 1 for present, 0 for missing; full: what counts among values of equal quality, source and time."""
 
     name: str
     quality: Column
@@ -58,14 +58,14 @@ class Field:
 def survivors(records: DataFrame, fields: list[Field], group: str, trust: Column, time: str, position: str) -> DataFrame:
     """One surviving row for each group, built field by field.
 
-    For each field the value is that of the row with the greatest (quality, fullness, source trust, timestamp, lowest
+    For each field the value is that of the row with the greatest (quality, source trust, timestamp, fullness, lowest
     position), in one aggregation of the maximum of a composite struct. Results: the group, for each field its value,
     ``<field>_pos`` (the row it comes from; null if no row has a value) and ``<field>_whole`` (rows with a whole
     value; repeats count). Rows without group are no case. The maximum is combined before the shuffle, so a group that
     holds most of the rows costs one row for each task. Ties end at the position; nulls sort lowest.
     """
     def best(f: Field) -> Column:
-        return F.max(F.struct(f.quality.alias("q"), f.full.alias("l"), trust.alias("s"), F.col(f"`{time}`").alias("t"), (-F.col(f"`{position}`")).alias("p"), F.col(f"`{f.name}`").alias("v")))
+        return F.max(F.struct(f.quality.alias("q"), trust.alias("s"), F.col(f"`{time}`").alias("t"), f.full.alias("l"), (-F.col(f"`{position}`")).alias("p"), F.col(f"`{f.name}`").alias("v")))
 
     rows = records.where(F.col(f"`{group}`").isNotNull())
     aggregates = [x for f in fields for x in (best(f).alias(f"_{f.name}"), F.count_if(f.quality == 2).alias(f"{f.name}_whole"))]
