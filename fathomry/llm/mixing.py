@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.running import running_total
-from ..shared import Scratch
+from ..shared import Scratch, small_side
 from .encoding import token_counts
 
 #: Tokens of a block, the unit that the schedule places; and rows that a bucket of the shuffled order holds, about.
@@ -35,18 +35,20 @@ def quotas(sized: DataFrame, targets: DataFrame) -> DataFrame:
 def choose(sized: DataFrame, quota: DataFrame, seed: int = 0, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """The copies chosen for each mix: ``mix_id``, ``source``, ``doc_id``, ``copy`` (from 1), ``tokens``, ``at``.
 
-    Documents of a source stand in one shuffled order. A quota takes the order as many whole times as it holds and
-    then the beginning that comes nearest to the rest, to half a document; ``at`` is where a copy begins, in tokens.
+    A quota takes the documents of its source as many whole times as it holds, each time shuffled anew, and then the
+    beginning of one more order that comes nearest to the rest, to half a document; ``at`` is where a copy begins, in
+    tokens. Orders are placed by buckets, so that a source with most documents costs no large task.
     """
-    rows = sized.where("source is not null and tokens > 0").select("doc_id", "source", "tokens", F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
+    rows = sized.where("source is not null and tokens > 0").select("doc_id", "source", "tokens")
     buckets = max(1, rows.count() // bucket_rows)
-    rows = rows.withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    placed = running_total(rows, ["source"], "_b", ["_h", "doc_id"], "tokens", "start")
-    joined = placed.join(F.broadcast(quota.where("quota > 0").select("mix_id", "source", "have", "quota")), "source")  # a row for each target
+    targets = small_side(quota.where("quota > 0").select("mix_id", "source", "have", "quota"))
     times = F.floor(F.col("quota") / F.col("have")).cast("long")
     rest = F.col("quota") - times * F.col("have")
-    copies = times + F.when(F.col("start") + F.col("tokens") / 2 <= rest, 1).otherwise(0)
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1))))).where(F.col("copy") <= copies).select("mix_id", "source", "doc_id", F.col("copy").cast("int").alias("copy"), "tokens", (F.col("start") + (F.col("copy") - 1) * F.col("have")).alias("at"))
+    each = rows.join(targets, "source").withColumn("_times", times).withColumn("_rest", rest).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times") + 1))).where("copy <= _times or _rest > 0")
+    shuffled = each.withColumn("_h", F.xxhash64(F.lit(seed), F.when(F.col("copy") <= F.col("_times"), F.col("copy")).otherwise(0), "doc_id")).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    placed = running_total(shuffled, ["mix_id", "source", "copy"], "_b", ["_h", "doc_id"], "tokens", "start")
+    taken = placed.where((F.col("copy") <= F.col("_times")) | (F.col("start") + F.col("tokens") / 2 <= F.col("_rest")))
+    return taken.select("mix_id", "source", "doc_id", F.col("copy").cast("int").alias("copy"), "tokens", (F.col("start") + (F.col("copy") - 1) * F.col("have")).alias("at"))
 
 
 def schedule(blocks: DataFrame) -> DataFrame:
