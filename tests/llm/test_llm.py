@@ -127,6 +127,31 @@ def test_narrow_rules(spark):
     assert matching.first_surname("S. Wamar und andere") == "wamar" and matching.first_surname("ludwig van wamar") == "wamar"
 
 
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    """Keys that many rows share are joined with more attributes; the result is the same as if no key or every key were so."""
+    rng = random.Random(4)
+    words = "quiet letters distant harbours narrow valleys winter bridges muddy rivers heavy rain gardens broken walls towns".split()
+    names = ["Dornikar", "Krevambak", "Bendique", "Prilmaamor", "Ti", None]
+
+    def typo(text):
+        i = rng.randrange(len(text))
+        return text[:i] + rng.choice("abcde") + text[i + 1 :] if rng.random() < 0.5 else text
+
+    candidates, refs = [], []
+    for i in range(120):
+        title = "Of " + " ".join(rng.sample(words, 6)) + (": a panel study" if rng.random() < 0.3 else "")
+        name, year, doi = rng.choice(names), rng.randint(2000, 2002), rng.choice([None, "10.5555/v", f"10.5555/{i}"])
+        candidates.append((i, rng.choice([None, None, i // 10]), title, [f"S. {name}"] if name else None, year, doi, "", ""))
+        if rng.random() < 0.6:
+            refs.append((i, typo(title.split(":")[0] if rng.random() < 0.3 else title), f"S. {typo(name)}" if name and rng.random() < 0.9 else None, str(year), doi if rng.random() < 0.5 else None, ""))
+    found = []
+    for few in (0, 50, 10**9):
+        monkeypatch.setattr(matching, "FEW", few)
+        got = matching.match_references(spark.createDataFrame(refs, REFS), spark.createDataFrame(candidates, CANDIDATES))
+        found.append({(r.pos, r.ref_id, r.rule, round(r.confidence, 9)) for r in got.collect()})
+    assert len(found[0]) > 40 and found[0] == found[1] == found[2]
+
+
 def test_survivors(spark):
     at = datetime(2024, 1, 1)
     rows = [
