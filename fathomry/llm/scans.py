@@ -385,8 +385,10 @@ def paragraphs(chunks: DataFrame, papers: DataFrame | None = None, venues: DataF
     mended = cases.where("kind <> 'drop'").groupBy("chunk_id", "line_no").agg(
         F.map_from_entries(F.collect_set(F.when(is_char, F.struct("seen", "word")))).alias("fixes"), F.max(F.when(F.col("kind") == "join", F.col("word"))).alias("joined"),
     )
-    split = lines.join(mended, ["chunk_id", "line_no"], "left").withColumn("words", F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(1))).withColumn("gaps", F.split("line", WORD, -1))
-    text, behind = _repaired_line()
+    joined = lines.join(mended, ["chunk_id", "line_no"], "left")
+    needs = F.col("fixes").isNotNull() | F.col("continues")  # the words of other lines needn't be told apart
+    split = joined.withColumn("needs", needs).withColumn("words", F.when(needs, F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(1)))).withColumn("gaps", F.when(needs, F.split("line", WORD, -1)))
+    text, behind = (F.when(F.col("needs"), c).otherwise(F.col("line")) for c in _repaired_line())
     own = F.struct(
         "line_no", F.rtrim(text).alias("text"), F.rtrim(behind).alias("behind"), F.col("joined").isNotNull().alias("goes_on"), F.length(F.rtrim("line")).alias("length"),
         F.length(F.regexp_extract("line", r"^[ \t]*", 0)).alias("indent"), F.length(F.regexp_extract("line", r"^\s*(\S*)", 1)).alias("first"),
