@@ -112,7 +112,7 @@ def attributes(rows: DataFrame, key: Column, title: Column, authors: Column, yea
 
 #: What the rules compare.
 COMPARED = ["full", "main", "sequel", "has_sub", "words", "surname", "year", "doi"]
-#: A key that more rows of the catalog have is joined together with a further attribute that its rule asks for anyway.
+#: A key that more rows of the catalog have is joined together with a further attribute that all rows share that its rule accepts.
 FEW = 50
 #: Labelled entities whose rows measure the precision of the rules, at most.
 LABELLED = 50_000
@@ -165,6 +165,28 @@ def surname_parts(catalog: bool, *more: str) -> str:
     return f"CASE WHEN length(surname) > 8 THEN {parts(3)} WHEN length(surname) >= 5 THEN concat({parts(3)}, {parts(2)}) ELSE array() END"
 
 
+def surname_deletes() -> str:
+    """The first eight letters of a surname without none, one or two of them, in SQL. Surnames two edits apart share one of these."""
+    without = lambda t: f"transform(sequence(1, length({t})), i -> concat(left({t}, i - 1), substr({t}, i + 1)))"
+    start = "left(surname, 8)"
+    return f"array_distinct(concat(array({start}), {without(start)}, flatten(transform({without(start)}, t -> {without('t')}))))"
+
+
+def length_marks(catalog: bool, share: float) -> str:
+    """Numbers of which a row of the catalog and a row to match share one if their titles may differ by no more than *share* of
+    their letters. In SQL.
+
+    A number stands for eight lengths of the title, and for eight of its head for titles of which one alone has a subtitle. A row to
+    match has those of all lengths that a title so near may have; two letters are allowed for titles of fewer than eight.
+    """
+    def spans(kind: str, column: str, has_sub: str) -> str:
+        n = f"length({column})"
+        ends = [f"int({n} DIV 8)"] * 2 if catalog else [f"int(greatest(floor({n} * {1 - share}D) - 2, 0) DIV 8)", f"int((ceil({n} / {1 - share}D) + 2) DIV 8)"]
+        return f"transform(sequence({', '.join(ends)}), x -> xxhash64('{kind}', {has_sub}, x))"
+
+    return f"concat({spans('title', 'full', 'true')}, {spans('head', 'main', 'has_sub' if catalog else 'NOT has_sub')})"
+
+
 def author_marks(catalog: bool) -> str:
     """Numbers of which a row of the catalog and a row to match share one if their authors are akin or one of them has none. In SQL."""
     own = f"concat({surname_parts(catalog)}, array({_key('author', 'surname')}, {'2L' if catalog else '1L'}))"
@@ -242,11 +264,13 @@ def _best(scored: DataFrame) -> DataFrame:
     return best.select("probe", "lid", "best.entity", "best.pass")
 
 
-def _met(left: DataFrame, right: DataFrame, base: tuple[str, str], more: tuple[str, str], scratch: Scratch, name: str, columns: tuple[list[str], list[str]]) -> DataFrame:
-    """*left* as ``l`` joined to *right* as ``r`` where they share a number of *base*, and for numbers that more than FEW
-    rows of *right* have also one of *more*. *columns* are what they keep."""
+def _met(left: DataFrame, right: DataFrame, base: tuple[str, str], more: tuple[str, str], scratch: Scratch, name: str, columns: tuple[list[str], list[str]], times: int = 1) -> DataFrame:
+    """*left* as ``l`` joined to *right* as ``r`` where they share a number of *base*, and for numbers that more than *times* FEW
+    rows of *right* have also one of *more*. *columns* are what they keep.
+
+    All rows that the rule accepts must share one of *more*, else what is found depends on how many rows have a number."""
     exploded = lambda t, side: t.selectExpr("*", f"explode({base[side]}) AS _b").where("_b is not null")
-    many = exploded(right, 1).groupBy("_b").agg(F.count("*").alias("_n")).where(f"_n > {FEW}").select("_b")
+    many = exploded(right, 1).groupBy("_b").agg(F.count("*").alias("_n")).where(f"_n > {times * FEW}").select("_b")
     many = scratch.keep(many, name)
     some = not many.isEmpty()
     many = small_side(many)
@@ -279,9 +303,10 @@ def match_cascade(left: DataFrame, right: DataFrame, scratch: Scratch | None = N
     5. the year with a near title that shares two content words in sequence, where one side names no author.
 
     Within a pass the strongest rule wins, then the nearest title, then the nearest year, then the lowest entity. All
-    joins are on equal keys. A key that more than FEW rows of the catalog have is joined together with a content word or
-    a part of the author, which the rule asks for at any size; so a hot DOI, author or title compares those rows only
-    that can match, and the result doesn't depend on how hot a key is.
+    joins are on equal keys. A key that more than FEW rows of the catalog have is joined together with a content word, a part of
+    the author or the span of the title's length, one of which any two rows share that the rule accepts; so a hot DOI, author or title compares
+    those rows only that can match, and the result doesn't depend on how hot a key is. For the fourth pass the distinct surnames
+    of a year are compared first, then the titles of the rows with near ones.
 
     Confidence is the rule's precision on labelled rows with Laplace smoothing, (right + 1) / (right + wrong + 2):
     the first row of each of at most LABELLED labelled entities (those with the lowest hash) goes through the cascade together with the rows to
@@ -316,8 +341,9 @@ def match_cascade(left: DataFrame, right: DataFrame, scratch: Scratch | None = N
         return _ranked(joined, [n])
 
     def first_pass(w: DataFrame) -> DataFrame:
-        marks, base = f"array_append({MARKS}, {_key('author', 'surname')})", f"array({_key('doi', 'doi')})"
-        met = _met(narrow(w), narrow(catalog), (base, base), (marks, marks), scratch, "many1", (["probe", "lid", *sizes], ["rid", *sizes]))
+        base = f"array({_key('doi', 'doi')})"
+        marks = tuple(f"concat({MARKS}, CASE WHEN surname IS NULL THEN {length_marks(side, 0.25)} ELSE array({_key('author', 'surname')}) END)" for side in (False, True))
+        met = _met(narrow(w), narrow(catalog), (base, base), marks, scratch, "many1", (["probe", "lid", *sizes], ["rid", *sizes]))
         own, theirs = (t.selectExpr(*c, "sequel", "year", f"{_key('title', 'full', 'surname')} AS _k").where("_k is not null") for t, c in ((w, ["probe", "lid", "words"]), (catalog, ["rid", "entity", "copies"])))
         by_title = own.alias("l").join(theirs.alias("r"), F.col("l._k") == F.col("r._k"))
         return _best(compared(met.where(f"{_CUT} AND {_fit(0.25)}"), w, 0).unionByName(_ranked(by_title, [1, 2])))
@@ -334,9 +360,16 @@ def match_cascade(left: DataFrame, right: DataFrame, scratch: Scratch | None = N
         return _best(compared(met.where(f"{_PART} AND {_years(2)} AND {_fit(0.3)}"), w, 7))
 
     def fourth_pass(w: DataFrame) -> DataFrame:
-        base = surname_parts(False, "year"), surname_parts(True, "year")
-        met = _met(narrow(w.where("words >= 4")), narrow(catalog), base, (MARKS, MARKS), scratch, "many4", (["probe", "lid", "surname", *sizes], ["rid", "surname", *sizes]))
-        return _best(compared(met.where(f"{_PART} AND {_fit(0.15)} AND levenshtein(l.surname, r.surname, 2) >= 0"), w, 8))
+        w = w.where("words >= 4")
+        names = lambda t: t.where("length(surname) >= 5 and year is not null").select("year", "surname").distinct()
+        parts = surname_parts(False, "year"), surname_parts(True, "year")
+        near = _met(names(w), names(catalog), parts, (surname_deletes(), surname_deletes()), scratch, "many4", (["year", "surname"], ["surname"]), 10)
+        near = near.where("levenshtein(l.surname, r.surname, 2) >= 0").selectExpr("l.year", "l.surname", "r.surname AS other").distinct()
+        near = small_side(scratch.keep(near, "near"))
+        own, theirs = narrow(w).join(near, ["year", "surname"]), narrow(catalog).join(near.selectExpr("year", "other AS surname"), ["year", "surname"], "left_semi")
+        base = f"array({_key('name', 'year', 'other', 'sequel')})", f"array({_key('name', 'year', 'surname', 'sequel')})"
+        met = _met(own, theirs, base, (length_marks(False, 0.15), length_marks(True, 0.15)), scratch, "many5", (["probe", "lid", *sizes], ["rid", *sizes]))
+        return _best(compared(met.where(f"{_PART} AND {_fit(0.15)}"), w, 8))
 
     def without_author(w: DataFrame, c: DataFrame, n: int) -> DataFrame:
         at = lambda t, *ids: with_pairs(narrow(t.where("year is not null")), *ids, *sizes, "year")

@@ -152,6 +152,43 @@ def test_hot_keys_change_nothing(spark, monkeypatch):
     assert len(found[0]) > 40 and found[0] == found[1] == found[2]
 
 
+def test_hot_keys_without_shared_words(spark, monkeypatch):
+    """Near titles that share no word match by the author and year or by the DOI, whether few rows have these or many."""
+    right, typed = "The colour of labour and of armour", "The color of labor and of armor"
+    candidates = [(1, None, right, ["S. Wamarson"], 2001, None, "", ""), (2, None, "Behaviour favours", None, None, "10.5555/v", "", ""), (3, None, "Flavours: harbours within", None, None, "10.5555/v", "", "")]
+    other = ["Winter", "Rivers", "Gardens", "Bridges", "Towns"]
+    candidates += [(100 + i, None, f"Chapter {other[i % 5]} {i} things", [f"S. {'Wamarson' if i % 2 else 'Wamarler'}"], 2001, None, "", "") for i in range(140)]
+    candidates += [(300 + i, None, f"Chapter {other[i % 5]} {i} things", None, None, "10.5555/v", "", "") for i in range(60)]
+    refs = [(1, typed, "S. Wamarsen", "2001", None, ""), (2, "Behavior favors", None, None, "10.5555/v", ""), (3, "Flavors", None, None, "10.5555/v", "")]
+    for few in (50, 0, 10**9):
+        monkeypatch.setattr(matching, "FEW", few)
+        got = matching.match_references(spark.createDataFrame(refs, REFS), spark.createDataFrame(candidates, CANDIDATES))
+        assert {(r.pos, r.ref_id, r.rule) for r in got.collect()} == {(1, 1, "year, near first author, near title"), (2, 2, "doi, near title"), (3, 3, "doi, near title")}, few
+
+
+def test_further_keys_lose_nothing(spark):
+    """Near surnames share a delete, titles of near length a span."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(800):
+        name = "".join(rng.choice("abc") for _ in range(rng.randint(5, 12)))
+        other = name
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randint(0, len(other))
+            other = other[:k] + rng.choice(["", "d", "da", other[k : k + 1] + "d"]) + other[k + 1 :]
+        n = rng.randint(1, 80)
+        rows.append((i, name, other, n, rng.randint(1, n), rng.randint(1, 80), rng.random() < 0.5, rng.random() < 0.5))
+    rows = spark.createDataFrame(rows, "i int, a string, b string, n int, h int, m int, s boolean, z boolean")
+    names = [rows.selectExpr("i", f"{c} AS surname").selectExpr("i", "surname", f"{matching.surname_deletes()} AS k") for c in "ab"]
+    near = names[0].alias("l").join(names[1].alias("r"), "i").where("length(l.surname) >= 5 AND length(r.surname) >= 5 AND levenshtein(l.surname, r.surname) <= 2")
+    assert near.count() > 400 and near.where("NOT arrays_overlap(l.k, r.k)").count() == 0
+    for share in (0.15, 0.25):
+        left = rows.selectExpr("i", "repeat('a', n) AS full", "repeat('a', h) AS main", "s AS has_sub").selectExpr("*", f"{matching.length_marks(False, share)} AS k")
+        right = rows.selectExpr("i", "repeat('a', m) AS full", "repeat('a', least(h, m)) AS main", "z AS has_sub").selectExpr("*", f"{matching.length_marks(True, share)} AS k")
+        pairs = left.alias("l").join(right.alias("r"), F.expr("abs(l.i - r.i) < 20")).where(matching._gap(f"{share}D") + " IS NOT NULL")
+        assert pairs.count() > 1000 and pairs.where("NOT arrays_overlap(l.k, r.k)").count() == 0
+
+
 def test_survivors(spark):
     at = datetime(2024, 1, 1)
     rows = [
