@@ -37,7 +37,8 @@ def _letters(text: str) -> str:
 
 
 _TAG, _HEAD, _WORDS = re.compile(r"<[^>]*>"), re.compile(r":|\s[-–—]\s|\?\s"), re.compile(r"[^\W_]+")
-_LAST = re.compile(r"(?:\d|[ivx]{1,4}|one|two|three|four|five|six|study|part|look|report|analysis|paper|instalment|wave|revisited|reconsidered|reexamined|continued|concluded|again|extended|updated|up|sequel|continuation|postscript|addendum|reply|update)$")
+#: The ends of all that SEQUELS match, besides digits.
+_LAST = tuple("i v x one two three four five six study part look report analysis paper instalment wave revisited reconsidered reexamined continued concluded again extended updated up sequel continuation postscript addendum reply update".split())
 
 
 def _squeezed(text: str) -> str:
@@ -53,7 +54,7 @@ def title_parts(title: str | None) -> tuple:
         plain = _TAG.sub("", plain)
     plain = _letters(plain)
     full, sequel = _squeezed(plain), ""
-    if _LAST.search(full):
+    if full.endswith(_LAST) or full[-1:].isdecimal():
         for pattern, kind in _SEQUELS:
             if m := pattern.search(full):
                 sequel, full = f"{kind} {_NUMBERS.get(m[1], m[1])}", full[: m.start()]
@@ -142,7 +143,7 @@ def with_pairs(rows: DataFrame, *columns: str) -> DataFrame:
     """*columns* of *rows* with a row for each two content words in sequence of the title, as a number (``_k``)."""
     stops = ", ".join(repr(w) for w in sorted(STOP_WORDS))
     words = rows.selectExpr(*columns, f"filter(split(full, ' '), w -> w NOT IN ({stops})) AS _w").where("size(_w) > 1")
-    return words.selectExpr(*columns, "explode(array_distinct(zip_with(slice(_w, 1, size(_w) - 1), slice(_w, 2, size(_w) - 1), (a, b) -> xxhash64(a, b)))) AS _k")
+    return words.selectExpr(*columns, "explode_outer(array_distinct(zip_with(slice(_w, 1, size(_w) - 1), slice(_w, 2, size(_w) - 1), (a, b) -> xxhash64(a, b)))) AS _k").where("_k is not null")
 
 
 def surname_parts(catalog: bool, *more: str) -> str:
@@ -193,16 +194,39 @@ def author_marks(catalog: bool) -> str:
     return f"CASE WHEN surname IS NOT NULL THEN {own} ELSE {'array(1L, 2L)' if catalog else 'array(2L)'} END"
 
 
+def _most(limit: str) -> str:
+    """The letters by which the titles may differ: *limit* times the letters of what is compared. In SQL."""
+    return f"int({limit} * CASE WHEN l.has_sub = r.has_sub THEN greatest(length(l.full), length(r.full)) ELSE greatest(length(l.main), length(r.main), 8) END)"
+
+
 def _gap(limit: str) -> str:
     """The letters by which the titles differ, null if they are more than *limit* times the letters of what is compared. In SQL.
 
     Where one side alone has a subtitle, the heads are compared too, and one letter is added to their difference.
     """
-    most = f"int({limit} * CASE WHEN l.has_sub = r.has_sub THEN greatest(length(l.full), length(r.full)) ELSE greatest(length(l.main), length(r.main), 8) END)"
+    most = _most(limit)
     heads = f"CASE WHEN l.has_sub <> r.has_sub THEN CASE WHEN l.main = r.main THEN 1 ELSE nullif(levenshtein(l.main, r.main, {most} - 1), -1) + 1 END END"
     return f"CASE WHEN l.full = r.full THEN 0 ELSE least(nullif(levenshtein(l.full, r.full, {most}), -1), {heads}) END"
 
 
+def _with_gap(met: DataFrame, limit: str, ok: str, *columns: str) -> DataFrame:
+    """*columns* of the rows that met and for which *ok* holds, and :func:`_gap`; for titles most of which are near.
+
+    It takes off what both begin and end with before it counts edits: that changes no distance, and leaves little of
+    titles that are near. Runs of 32 to 4 letters are looked for, the longest first.
+    """
+    alike = "aggregate(array(32, 16, 8, 4), 0, (p, k) -> p + CASE WHEN substr({0}, p + 1, k) = substr({1}, p + 1, k) THEN k ELSE 0 END)"
+    off = lambda a, b: f"CASE WHEN NOT _same AND {a} IS NOT NULL THEN {alike.format(a, b)} END"
+    own = met.selectExpr(*columns, f"{ok} AS _ok", f"{_most(limit)} AS _most", "l.full AS _a", "r.full AS _b", "CASE WHEN l.has_sub <> r.has_sub THEN l.main END AS _c", "r.main AS _d")
+    t = own.where("_ok").selectExpr(*[c for c in own.columns if c[0] != "_"], "_a = _b AS _same", "_most", "_a", "_b", "_c", "CASE WHEN _c IS NOT NULL THEN _d END AS _d")
+    kept = t.columns[:-4]
+    for _ in range(2):  # from the beginning, then what is left from the end
+        t = t.selectExpr("*", f"{off('_a', '_b')} AS _p", f"{off('_c', '_d')} AS _q")
+        t = t.selectExpr(*kept, *[f"reverse(substr({c}, {n} + 1)) AS {c}" for c, n in (("_a", "_p"), ("_b", "_p"), ("_c", "_q"), ("_d", "_q"))])
+    head = "CASE WHEN _c = _d THEN 1 ELSE nullif(levenshtein(_c, _d, _most - 1), -1) + 1 END"
+    return t.selectExpr(*kept[:-2], f"CASE WHEN _same THEN 0 ELSE least(nullif(levenshtein(_a, _b, _most), -1), {head}) END AS gap")
+
+
 def _years(most: int) -> str:
     return f"coalesce(abs(l.year - r.year) <= {most}, true)"
 
@@ -250,26 +274,28 @@ def _ranked(joined: DataFrame, rules: list[int]) -> DataFrame:
     """For the rows that met the strongest of *rules* that holds (``pass``, null if none does), the difference of the
     titles (``gap``, null if it is too great) and of the years, and the entity."""
     other = joined.where("NOT (l.probe AND l.lid = r.rid AND r.copies = 1)")
+    columns = ["l.probe", "l.lid", "coalesce(abs(l.year - r.year), 1) AS years", "r.entity"]
+    if rules == [7]:  # elsewhere the titles are mostly equal or quite different
+        return _with_gap(other, LIMITS[7], CONDITIONS[7], "7 AS pass", *columns)
     if rules[0] in LIMITS:
-        passed, gap = f"{rules[0]}", f"CASE WHEN {CONDITIONS[rules[0]]} THEN {_gap(LIMITS[rules[0]])} END"
-    else:
-        passed, gap = f"CASE {' '.join(f'WHEN {CONDITIONS[n]} THEN {n}' for n in rules)} END", "0"
-    return other.selectExpr("l.probe", "l.lid", f"{passed} AS pass", f"{gap} AS gap", "coalesce(abs(l.year - r.year), 1) AS years", "r.entity")
+        return other.selectExpr(f"{rules[0]} AS pass", *columns, f"CASE WHEN {CONDITIONS[rules[0]]} THEN {_gap(LIMITS[rules[0]])} END AS gap")
+    return other.selectExpr(f"CASE {' '.join(f'WHEN {CONDITIONS[n]} THEN {n}' for n in rules)} END AS pass", *columns, "0 AS gap")
 
 
 def _best(scored: DataFrame) -> DataFrame:
     """The best entity of each row: the strongest rule, then the nearest title, the nearest year, and the lowest entity."""
-    found = F.expr("min(CASE WHEN pass IS NOT NULL AND gap IS NOT NULL THEN struct(pass, gap, years, entity) END)")
-    best = scored.groupBy("probe", "lid").agg(found.alias("best")).where("best IS NOT NULL")
-    return best.select("probe", "lid", "best.entity", "best.pass")
+    # a filter on pass and gap would be pushed down, so that both are made twice
+    found = scored.selectExpr("probe", "lid", "explode_outer(CASE WHEN pass IS NOT NULL AND gap IS NOT NULL THEN array(struct(pass, gap, years, entity)) END) AS best").where("best IS NOT NULL")
+    return found.groupBy("probe", "lid").agg(F.min("best").alias("best")).select("probe", "lid", "best.entity", "best.pass")
 
 
 def _met(left: DataFrame, right: DataFrame, base: tuple[str, str], more: tuple[str, str], scratch: Scratch, name: str, columns: tuple[list[str], list[str]], times: int = 1) -> DataFrame:
     """*left* as ``l`` joined to *right* as ``r`` where they share a number of *base*, and for numbers that more than *times* FEW
     rows of *right* have also one of *more*. *columns* are what they keep.
 
-    All rows that the rule accepts must share one of *more*, else what is found depends on how many rows have a number."""
-    exploded = lambda t, side: t.selectExpr("*", f"explode({base[side]}) AS _b").where("_b is not null")
+    All rows that the rule accepts must share one of *more*, else what is found depends on how many rows have a number.
+    explode_outer, as Spark makes the arrays of explode twice: it infers a filter on their size."""
+    exploded = lambda t, side: t.selectExpr("*", f"explode_outer({base[side]}) AS _b").where("_b is not null")
     many = exploded(right, 1).groupBy("_b").agg(F.count("*").alias("_n")).where(f"_n > {times * FEW}").select("_b")
     many = scratch.keep(many, name)
     some = not many.isEmpty()
@@ -279,8 +305,8 @@ def _met(left: DataFrame, right: DataFrame, base: tuple[str, str], more: tuple[s
         light = exploded(t, side)
         if not some:
             return light.selectExpr(*columns[side], "_b AS _k")
-        further = f"explode(transform(filter({more[side]}, x -> x IS NOT NULL), x -> xxhash64(_b, x))) AS _k"
-        heavy = light.join(many, "_b", "left_semi").selectExpr(*columns[side], further)
+        further = f"explode_outer(transform(filter({more[side]}, x -> x IS NOT NULL), x -> xxhash64(_b, x))) AS _k"
+        heavy = light.join(many, "_b", "left_semi").selectExpr(*columns[side], further).where("_k is not null")
         return light.join(many, "_b", "left_anti").selectExpr(*columns[side], "_b AS _k").unionByName(heavy)
 
     return keyed(left, 0).alias("l").join(keyed(right, 1).alias("r"), F.col("l._k") == F.col("r._k"))
@@ -318,7 +344,7 @@ def match_cascade(left: DataFrame, right: DataFrame, scratch: Scratch | None = N
     """
     scratch = scratch or Scratch(left.sparkSession)
     lid = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in COMPARED])
-    own = scratch.keep(left.where("full is not null").select("id", *COMPARED).withColumn("lid", lid), "left")
+    own = scratch.keep(left.select("id", *COMPARED).withColumn("lid", lid), "left").where("full is not null")  # before it is written, the filter would make the titles' keys twice
     rows = right.where("full is not null").groupBy("entity", "labelled", *COMPARED).agg(F.count("*").alias("copies"), F.min("id").alias("rid"))
     catalog = scratch.keep(rows, "catalog")
     firsts = catalog.where("labelled").groupBy("entity").agg(F.min("rid").alias("rid"), F.sum("copies").alias("n")).where("n > 1")
@@ -364,7 +390,7 @@ def match_cascade(left: DataFrame, right: DataFrame, scratch: Scratch | None = N
         names = lambda t: t.where("length(surname) >= 5 and year is not null").select("year", "surname").distinct()
         parts = surname_parts(False, "year"), surname_parts(True, "year")
         near = _met(names(w), names(catalog), parts, (surname_deletes(), surname_deletes()), scratch, "many4", (["year", "surname"], ["surname"]), 10)
-        near = near.where("levenshtein(l.surname, r.surname, 2) >= 0").selectExpr("l.year", "l.surname", "r.surname AS other").distinct()
+        near = near.where("l.surname = r.surname OR levenshtein(l.surname, r.surname, 2) >= 0").selectExpr("l.year", "l.surname", "r.surname AS other").distinct()
         near = small_side(scratch.keep(near, "near"))
         own, theirs = narrow(w).join(near, ["year", "surname"]), narrow(catalog).join(near.selectExpr("year", "other AS surname"), ["year", "surname"], "left_semi")
         base = f"array({_key('name', 'year', 'other', 'sequel')})", f"array({_key('name', 'year', 'surname', 'sequel')})"

@@ -189,6 +189,44 @@ def test_further_keys_lose_nothing(spark):
         assert pairs.count() > 1000 and pairs.where("NOT arrays_overlap(l.k, r.k)").count() == 0
 
 
+def test_titles_are_read_once(spark):
+    """Each table's titles go through Python once, and no array is made twice to see whether it is empty."""
+    plans = {}
+
+    class Kept(Scratch):
+        def keep(self, df, name):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return super().keep(df, name)
+
+    t = "Moral pleas and the early speech of urban letters"
+    candidates = spark.createDataFrame([(1, None, t, ["S. Wamar"], 2001, "10.5555/a", "", ""), (2, None, None, None, None, None, "", "")], CANDIDATES)
+    refs = spark.createDataFrame([(10, t, "WAMAR", "(2001)", None, ""), (11, None, None, None, None, "")], REFS)
+    got = matching.match_references(refs, candidates, Kept(spark)).select("pos", "ref_id").collect()
+    assert [tuple(r) for r in got] == [(1, 10)]
+    assert plans["left"].count("ArrowEvalPython") == plans["right"].count("ArrowEvalPython") == 1
+    assert not [n for n, plan in plans.items() if "(size(array_distinct(zip_with" in plan or "(size(transform(" in plan]
+
+
+def test_gap_without_common_ends(spark):
+    """What titles begin and end with doesn't count: the same distances as of the whole titles."""
+    rng = random.Random(8)
+    rows, letters = [], "aab é字"
+    for i in range(1500):
+        full = "".join(rng.choice(letters) for _ in range(rng.randint(1, 90)))
+        other = full
+        for _ in range(rng.randint(0, 6)):
+            k = rng.randint(0, len(other))
+            other = other[:k] + rng.choice(["", "c", "ab", other[:k][-5:]]) + other[k + rng.randint(0, 2) :]
+        cut = rng.randint(1, len(full))
+        rows.append((i, full, full[:cut], rng.random() < 0.5, other, other[: rng.choice([cut, cut + 1, len(other)])], rng.random() < 0.5, rng.random() < 0.9))
+    side = lambda *names: "struct(" + ", ".join(f"{n} AS {as_}" for n, as_ in zip(names, ("full", "main", "has_sub"), strict=True)) + ")"
+    met = spark.createDataFrame(rows, "i int, a string, am string, asub boolean, b string, bm string, bsub boolean, ok boolean").selectExpr("i", "ok", f"{side('a', 'am', 'asub')} AS l", f"{side('b', 'bm', 'bsub')} AS r")
+    for limit in ("0.25D", "0.15D", "CASE WHEN l.has_sub THEN 0.3D ELSE 0.2D END"):
+        whole = {(r.i, r.gap) for r in met.selectExpr("i", f"CASE WHEN ok THEN {matching._gap(limit)} END AS gap").where("gap IS NOT NULL").collect()}
+        got = {(r.i, r.gap) for r in matching._with_gap(met, limit, "ok", "i").where("gap IS NOT NULL").collect()}
+        assert len(whole) > 400 and got == whole, limit
+
+
 def test_survivors(spark):
     at = datetime(2024, 1, 1)
     rows = [
